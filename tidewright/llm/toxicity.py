@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are the distinct lower-cased runs of word characters, hashed into 2**20 numbers. A bounded sample of
-labelled rows gives each term's document counts by label; the terms that separate the labels most make the model's
+A text's terms are the distinct lower-cased runs of word characters and the stems of longer ones (their first 4 to 7
+characters), hashed into 2**20 numbers. A bounded sample of labelled rows gives each term's document counts by label; the terms that separate the labels most make the model's
 vocabulary. The machine has a weight and a vector per term, and adds to the linear sum the products of the vectors of all
 pairs of terms that a text holds, so that two terms together can say more than their weights add up to.
 
@@ -28,14 +28,17 @@ HASH_BITS = 20
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
 #: Most terms in the model.
-TERMS = 2_048
+TERMS = 1_024
 FACTORS = 8
+#: Lengths of the stems that are terms of their own.
+STEMS = (4, 5, 6, 7)
 _TERM = re.compile(r"\w+")
 
 
 def hashed(token: str) -> tuple[int, ...]:
-    """The hashed terms of one white-space token."""
-    return tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for w in _TERM.findall(token.lower()))
+    """The hashed terms of one white-space token: its words and their stems."""
+    own = [x for w in _TERM.findall(token.lower()) for x in (w, *("^" + w[:k] for k in STEMS if len(w) > k))]
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for x in own)
 
 
 def terms(text: str | None, memo) -> set[int]:
@@ -120,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     own = sampled(materialize(own.groupBy("doc_id").agg(F.max("label").alias("label")), "toxicity-labels"), "doc_id", most_rows)
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Bounded(hashed)
+        memo = Bounded(hashed, 100_000)
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "terms": [sorted(terms(t, memo)) for t in b["text"]]})
 
