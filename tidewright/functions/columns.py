@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -107,12 +108,13 @@ def kind_mask(c: Column, o: Options) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(out)
 
 
-@F.pandas_udf("string")
-def float_text(v: pd.Series) -> pd.Series:
+def float_text(c: Column) -> Column:
     """Doubles with 17 significant digits; null where not finite."""
-    import math
 
-    return v.map(lambda x: None if x is None or not math.isfinite(x) else "%.17g" % x)
+    def written(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None or not math.isfinite(x) else "%.17g" % x)
+
+    return F.pandas_udf(written, T.StringType())(c)
 
 
 def text(c: Column, t: T.DataType) -> Column:

@@ -31,7 +31,7 @@ from ..plans.evidence import Evidence, distinct_trees
 from ..session import ship
 from ..sources.files import SourceManifest, input_paths
 from ..sources.parse import BadRow
-from ..sources.readers import Reader, header_names, open_files, open_rows
+from ..sources.readers import Reader, header_names, open_files, open_lines, open_rows
 
 PLACE = ["__file", "__block", "__pos"]
 
@@ -272,10 +272,16 @@ def _options(options, given: dict) -> Options:
 
 
 def sanitize(spark: SparkSession, source, *, schema_registry: Mapping | str | None = None, options: SanitizeOptions | Options | None = None, detected_at: str = "", **given) -> Result:
-    """Convert ``source`` (a path, a manifest or dictionaries) to a Result."""
+    """Convert ``source`` to a Result: a path, a manifest, dictionaries, a typed DataFrame (input_format 'parquet' or
+    none), or a DataFrame of text whose rows are lines or documents (input_format 'jsonl', 'json', 'json_array', 'xml')."""
     o = _options(options, given)
-    python = not isinstance(source, (str, SourceManifest)) and not hasattr(source, "__fspath__")
-    if o.input_format is None or o.input_format == "python":
+    frame = isinstance(source, DataFrame)
+    python = not frame and not isinstance(source, (str, SourceManifest)) and not hasattr(source, "__fspath__")
+    if frame and o.input_format not in (None, "parquet", "jsonl", "json", "json_array", "xml"):
+        raise InvalidArgumentError("a DataFrame is typed, or holds lines or documents")
+    if frame:
+        pass
+    elif o.input_format is None or o.input_format == "python":
         if not python:
             raise InvalidArgumentError("input_format is needed for files; it is never guessed")
     elif python:
@@ -287,7 +293,9 @@ def sanitize(spark: SparkSession, source, *, schema_registry: Mapping | str | No
     how = dict(schema_mode=o.schema_mode, column_order=o.column_order, field_name_policy=o.field_name_policy, default_key=o.scalar_object_key, detected_at=detected_at)
     if not python and o.input_format == "parquet":
         return _parquet(spark, input_paths(spark, source, "parquet", o.input_mode), o, schema_registry, how, stats, stamp)
-    reader = open_rows(spark, source, o) if python else open_files(spark, input_paths(spark, source, o.input_format, o.input_mode), o)
+    if frame and o.input_format in (None, "parquet"):
+        return _typed([source.withColumns({"__file": F.lit("").cast("string"), "__block": F.spark_partition_id().cast("long"), "__pos": F.monotonically_increasing_id()})], o, schema_registry, how, stats, stamp)
+    reader = open_lines(source, o) if frame else open_rows(spark, source, o) if python else open_files(spark, input_paths(spark, source, o.input_format, o.input_mode), o)
     first = None
     if o.schema_mode == "strict":
         merged = reg.merge([], schema_registry, **how)  # the contract is the schema: nothing to infer
@@ -316,11 +324,19 @@ def _parquet(spark: SparkSession, paths: list[str], o: Options, registry, how: d
         key = df.schema.json()
         frames.setdefault(key, df)
         groups.setdefault(key, []).append(p)
-    merged, rows = None, None
-    plans = []
+    typed = []
     for key, own in groups.items():
         df = spark.read.schema(frames[key].schema).parquet(*own)
-        live = [(f.name, t) for f in df.schema.fields if (t := from_spark(f.dataType)) is not None]
+        typed.append(df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.lit(0).cast("long"), "__pos": F.col("_metadata.row_index")}))
+    return _typed(typed, o, registry, how, stats, stamp)
+
+
+def _typed(frames: list[DataFrame], o: Options, registry, how: dict, stats: dict, stamp: dt.datetime) -> Result:
+    """Rows of typed frames, which carry their place columns, by expressions alone."""
+    merged, rows = None, None
+    plans = []
+    for df in frames:
+        live = [(f.name, t) for f in df.schema.fields if f.name not in PLACE and (t := from_spark(f.dataType)) is not None]
         if clash := [n for n, _ in live if n in names.ETL_COLUMNS]:
             raise InvalidArgumentError(f"source fields with names of generated columns: {', '.join(clash)}")
         cleaned = names.clean_siblings([n for n, _ in live], o.field_name_policy, o.scalar_object_key)
@@ -329,7 +345,7 @@ def _parquet(spark: SparkSession, paths: list[str], o: Options, registry, how: d
         plans.append((df, dict(zip(cleaned, (n for n, _ in live)))))
     drifts = merged.drifts
     for df, columns in plans:
-        place = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.lit(0).cast("long"), "__pos": F.col("_metadata.row_index")})
+        place = df
         values, bad = _adapted(df.schema, columns, merged.fields, o)
         source = F.col("__file")
         if bad is not None:
@@ -343,11 +359,7 @@ def _parquet(spark: SparkSession, paths: list[str], o: Options, registry, how: d
         rows = out if rows is None else rows.unionByName(out)
     stats["direct_arrow_input"] = True
     stats["arrow_schema_depth"], stats["parquet_schema_depth"] = _depths(merged.fields)
-    first = rows.agg(F.min(F.struct(*PLACE)).alias("p")).first()["p"] if o.on_error == "skip_row" else None
-    if first is None:
-        some = next((p for p in sorted(paths) if spark.read.parquet(p).take(1)), None)
-        qualified = spark.read.parquet(some).select(F.col("_metadata.file_path").alias("f")).first()["f"] if some else None
-        first = (qualified, 0, 0) if some else None
+    first = rows.agg(F.min(F.struct(*PLACE)).alias("p")).first()["p"]  # reads no column of the data but what a policy needs
     placed = _finished(rows, merged.fields, merged, tuple(first) if first else None, stamp)
     return Result(placed, merged.fields, merged.registry, [d.__dict__ for d in drifts], o, stamp, stats)
 

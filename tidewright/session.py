@@ -7,11 +7,28 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    if told := spark.conf.get("spark.checkpoint.dir", None):
+        return told.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tidewright-")
+    return "file://" + _OWN[app]
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

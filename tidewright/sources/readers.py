@@ -206,6 +206,12 @@ def _plain(v):
     raise TypeError(f"values of type {type(v).__name__} are not supported")
 
 
+def open_lines(lines: DataFrame, o: Options) -> Reader:
+    """The reader of a DataFrame of text (its first column): one document or line per row."""
+    units = lines.select(F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("block"), F.col(f"`{lines.columns[0]}`").alias("unit"))
+    return Reader(units.filter(F.col("unit").isNotNull()), o.input_format, o)
+
+
 def open_rows(spark: SparkSession, rows: Iterable[dict], o: Options, chunk: int = 10_000) -> Reader:
     """The reader of Python dictionaries: serialised once, so that they can be read again."""
     lines: list[tuple[str, int, str]] = []
