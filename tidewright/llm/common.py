@@ -2,64 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import re
-import shutil
-import sys
-import tempfile
-import uuid
-import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+from ..session import scratch, ship
+
+__all__ = ["fold", "groups_by_size", "keep_rows", "materialize", "pieces", "sampled", "ship", "small"]
+
 _SPACE = re.compile(r"\s")
 
 #: What `[\x20\x09-\x0D]` means in every contract: ASCII white space.
 ASCII_SPACE = " \t-\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(sc.applicationId)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(package):  # already imported from a shipped archive
-        return
-    folder = tempfile.mkdtemp(prefix="ship-")
-    archive = os.path.join(folder, "tidewright_pkg.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for where, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(where, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    before = list(sys.path)
-    sc.addPyFile(archive)
-    sys.path[:] = before  # the driver keeps importing the folder itself
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it until then
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tidewright-")
-    return "file://" + _OWN[app]
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, ship
+from .common import keep_rows, materialize, ship, small
 from .components import connected_components
 
 WIDTH = 32
 RADIUS = 2
 BUCKET = 64
+#: Most buckets of more than two members (two longs each) that are broadcast; more are joined by a shuffle.
+BROADCAST = 400_000
 #: Shingles whose hashes are in memory at a time.
 CHUNK = 1 << 18
 
@@ -102,7 +104,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``nodes.fp`` that have the same components as all pairs in reach."""
     sizes = materialize(_variants(nodes).groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
     two = sizes.filter("n = 2").filter(_near("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = sizes.filter("n > 2").select("bucket", "n")
+    more = small(sizes.filter("n > 2").select("bucket", "n"), BROADCAST)
     members = materialize(_variants(nodes).join(more, "bucket"), "simhash-members")
     lists = members.filter(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = (
