@@ -96,11 +96,12 @@ class Node:
         """Add a tree's evidence under the shapes seen so far: a list takes in anything, then a struct."""
         self.evident = True
         kind, inner = (None, None) if isinstance(t, int) else t
-        if "L" in self.shapes:
+        way = "L" if "L" in self.shapes else "S" if "S" in self.shapes else kind
+        if way == "L":
             self.counted.add("L")
             for x in inner if kind == "L" else (t,):
                 self.element().count(x, default_key)
-        elif "S" in self.shapes:
+        elif way == "S":
             self.counted.add("S")
             for k, x in inner if kind == "S" else ((default_key, t),):
                 self.child(k).count(x, default_key)

@@ -16,6 +16,7 @@ from .operators.writers import write_csv, write_jsonl, write_parquet
 from .plans import registry as reg
 from .plans.pipeline import assign_windows
 from .session import scratch
+from .sources.files import beside, publish
 
 ETL = ("schema_registry", "schema_drifts", "source_file", "ingestion_timestamp")
 
@@ -133,11 +134,18 @@ def skip_row(spark, sf_dir):
     return _data(sanitize(spark, _amounts(spark, sf_dir), input_format="jsonl", schema_registry=_contract(), schema_mode="strict", on_error="skip_row"))
 
 
+def publish_csv(df: DataFrame, path: str) -> None:
+    """One CSV file of a DataFrame, without generated columns."""
+    folder = beside(path)
+    df.coalesce(1).write.option("header", True).csv(folder)
+    publish(df.sparkSession, folder, path)
+
+
 def csv_union_headers(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier")
     folder = scratch(spark, "csv-union")
     for name, columns in (("a", ["s_suppkey", "s_name"]), ("b", ["s_name", "s_suppkey"]), ("c", ["s_suppkey", "s_acctbal"])):
-        write_csv(sanitize(spark, s.select(*columns), field_name_policy="preserve", column_order="schema_contract_first"), f"{folder}/{name}.csv")
+        publish_csv(s.select(*columns), f"{folder}/{name}.csv")
     out = sanitize(spark, folder, input_format="csv", input_mode="directory", csv_header_mode="union", field_name_policy="preserve", parse_integers=True, parse_floats=True)
     return out.dataframe.select("s_suppkey", "s_name", "s_acctbal", F.regexp_extract("source_file", r"([^/]+)$", 1).alias("file"))
 
@@ -214,8 +222,6 @@ def _without_etl(spark, path: str, suffix: str) -> str:
     df = spark.read.text(path)
     for name in ETL:
         df = df.select(F.replace(F.col("value"), F.lit(name), F.lit("old_" + name.split("_")[-1] + "_" + name.split("_")[0])).alias("value"))
-    from .sources.files import beside, publish
-
     folder = beside(out)
     df.coalesce(1).write.text(folder)
     publish(spark, folder, out)

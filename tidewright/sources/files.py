@@ -120,11 +120,16 @@ def publish(spark: SparkSession, folder: str, target: str) -> int:
     if not out_fs.rename(parts[0], out):
         raise IntegrityError(f"could not publish {target}")
     fs.delete(path, True)
-    crc = spark._jvm.org.apache.hadoop.fs.Path(out.getParent(), f".{parts[0].getName()}.crc")
-    out_fs.delete(crc, False)
+    _drop_checksum(spark, out_fs, out)
     return n
 
 
+def _drop_checksum(spark: SparkSession, fs, path) -> None:
+    """Local file systems keep a checksum file beside each file; published files need none."""
+    if fs.getScheme() == "file":
+        spark._jvm.java.nio.file.Files.deleteIfExists(spark._jvm.java.nio.file.Path.of(path.getParent().toUri().getPath(), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0)).resolve(f".{path.getName()}.crc"))
+
+
 def beside(target: str) -> str:
     """A temporary folder next to a target, on the same file system."""
     head, _, name = target.rstrip("/").rpartition("/")
@@ -141,4 +146,5 @@ def publish_file_atomic(spark: SparkSession, local: str, uri: str) -> int:
         fs.delete(out, False)
     if not fs.rename(temp, out):
         raise IntegrityError(f"could not publish {uri}")
+    _drop_checksum(spark, fs, out)
     return n
