@@ -30,6 +30,8 @@ BITS = 64
 BLOCK = 20_000
 #: Most fingerprints of repeated texts that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST = 500_000
+#: Most groups (about 120 bytes each) that are broadcast.
+BROADCAST_GROUPS = 100_000
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -158,8 +160,9 @@ def _decided(docs: DataFrame, text: str, key: str) -> DataFrame:
         rows.join(repeated, "fp", "left_semi").groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size"))
         .join(verified, "text_sha256", "left_semi")
     )
-    groups = groups.select("text_sha256", "group_size", F.col("first.doc_id").alias("keep"), F.col("first.row").alias("keep_row"))
-    joined = rows.join(groups, "text_sha256", "left")
+    groups = materialize(groups.select("text_sha256", "group_size", F.col("first.doc_id").alias("keep"), F.col("first.row").alias("keep_row")), "exact-groups")
+    # read back as a table, so that a large group's rows can be split over tasks where the join is one by shuffle
+    joined = rows.join(small(groups, BROADCAST_GROUPS), "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
