@@ -13,7 +13,9 @@ others, each row once. An empty table gives an empty result. Other columns of th
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 
@@ -22,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bounded, common, default_path, words
+from .bpe import Bounded, Vocabulary, common, default_path, words
 from .common import materialize, ship
 
 WIDTH = 2048
 CLOSING = 1
+#: Most words that a worker remembers (about 200 bytes each).
+WORDS = 1_000_000
 #: Pieces of one length that a single task numbers, about.
 PART = 20_000
 
@@ -39,11 +43,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Bounded(self._encode)
+        self.model, self.signs = self.tokenizer.model, dict(enumerate(Vocabulary._byte_signs()))
+        self.memo = Bounded(self._word, WORDS)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One match of the tokenizer's pattern, by its model alone."""
+        signs = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
+        ids = array("I", [t.id for t in self.model.tokenize(signs)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
