@@ -252,3 +252,20 @@ def test_sql_text():
     assert "it''s" in bq.sidecar_upsert(ref, ref, "it's") and bq.sidecar_lookup(ref, ref).endswith("LIMIT 1")
     with pytest.raises(ValueError):
         bq.identifier("a`b")
+
+
+def test_source_patterns_and_connections():
+    assert bq.covered("gs://b/x/y.parquet", ("gs://b/*.parquet",)) and not bq.covered("gs://c/y", ("gs://b/*", "gs://c"))
+    import sqlite3
+
+    assert bq.first_cell(sqlite3.connect(":memory:"), "select 5") == 5
+
+
+def test_cancellation(spark):
+    from tidewright import CancelledError, operation_cancellation, process_operation_diagnostics
+
+    with pytest.raises(CancelledError), operation_cancellation(spark, timeout_seconds=1.5):
+        spark.range(8, numPartitions=2).select(F.udf(lambda x: __import__("time").sleep(8), "string")("id")).collect()
+    assert process_operation_diagnostics()["cancellations"] >= 1
+    with operation_cancellation(spark) as token:
+        assert spark.range(3).count() == 3 and not token.cancelled
