@@ -143,6 +143,17 @@ def test_typed_frames(spark, tmp_path):
     assert rows(sanitize(spark, text, schema_registry=contract, schema_mode="strict", parse_floats=True, field_name_policy="lower_snake")) == [{"d": 1.5, "i": "1"}, {"d": None, "i": None}]
 
 
+def test_parquet_that_spark_refuses(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    stamps = pa.array([-1_500, 1_704_164_645_123_456_789], pa.timestamp("ns"))
+    pq.write_table(pa.table({"t": pa.array([3_723_004, None], pa.time32("ms")), "n": stamps, "u": pa.array([1, 2**64 - 1], pa.uint64())}), tmp_path / "x.parquet")
+    got = rows(sanitize(spark, str(tmp_path / "x.parquet"), input_format="parquet"))
+    assert [(r["t"], r["n"]) for r in got] == [("01:02:03.004", dt.datetime(1969, 12, 31, 23, 59, 59, 999999)), (None, dt.datetime(2024, 1, 2, 3, 4, 5, 123456))]
+    assert [r["u"] for r in got] == ["1", str(2**64 - 1)]
+
+
 def test_column_twins_agree(spark):
     texts = ["", " ", "1", "-1", "+1", " 7 ", "1.0", "1,234.5", "1,23", ".5", "5.", "1e3", "9223372036854775808", "yes", "NO ", "2024-01-02", "2024-02-30", "23:59:59", "24:00:00", "2024-01-02T03:04:05", "2024-01-02 03:04:05.123456789Z", "1969-12-31T23:59:59.9999995", "2024-01-02T03:04:05+01:30", "1600-01-01T00:00:00", "2024-01-02T03:04:05+25:00", "x\n", "1\n"]
     o = Options.of(parse_integers=True, parse_floats=True, parse_iso_dates=True, parse_iso_times=True, parse_iso_timestamps=True, true_tokens=("Yes",), false_tokens=("no",))

@@ -15,6 +15,7 @@ from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ from ..plans.coerce import Level, Mismatch
 from ..plans.evidence import Evidence, distinct_trees
 from ..session import ship
 from ..sources.files import SourceManifest, input_paths
+from ..sources.parquet import read_in_workers, refused
 from ..sources.parse import BadRow
 from ..sources.readers import Reader, header_names, open_files, open_lines, open_rows
 
@@ -319,12 +321,19 @@ def _parquet(spark: SparkSession, paths: list[str], o: Options, registry, how: d
     """Typed input: evidence from the files' schemas, rows by column expressions."""
     groups: dict[str, list[str]] = {}
     frames: dict[str, DataFrame] = {}
+    special = []
     for p in paths:
-        df = spark.read.parquet(p)
-        key = df.schema.json()
+        try:
+            df = spark.read.parquet(p)
+            key = df.schema.json()
+        except PySparkException as e:
+            if not refused(e):
+                raise
+            special.append(p)
+            continue
         frames.setdefault(key, df)
         groups.setdefault(key, []).append(p)
-    typed = []
+    typed = read_in_workers(spark, special) if special else []
     for key, own in groups.items():
         df = spark.read.schema(frames[key].schema).parquet(*own)
         typed.append(df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.lit(0).cast("long"), "__pos": F.col("_metadata.row_index")}))
