@@ -143,10 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     model.index = {r[0]: i for i, r in enumerate(chosen)}
     if not chosen:
         return model
-    wanted = F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in chosen], "term long"))  # at most `most_terms` rows
-    held = rows.select("row", F.explode("terms").alias("term")).join(wanted, "term").groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    got = rows.select("row", "label").join(held, "row", "left").orderBy("row").select("label", "terms").toPandas()
-    sets = [np.asarray([model.index[x] for x in t] if t is not None else [], np.int64) for t in got["terms"]]
+    wanted = F.array(*[F.lit(r[0]).cast("long") for r in chosen])  # at most `most_terms`
+    got = rows.select("row", "label", F.array_intersect("terms", wanted).alias("terms")).toPandas().sort_values("row")  # at most `most_rows`
+    sets = [np.asarray([model.index[x] for x in t], np.int64) for t in got["terms"]]
     machine = FactorizationMachine(len(chosen))
     machine.fit(sets, got["label"].to_numpy(np.float64))
     model.machine = machine
