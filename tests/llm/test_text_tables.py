@@ -311,16 +311,17 @@ def test_pipeline(spark, tmp_path):
     from tokenizers import Tokenizer
 
     rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    word = lambda: rng.choice(vocabulary)
     text = lambda n: " ".join(word() for _ in range(n))
     items = [(i, text(20)) for i in range(3)]
-    texts = [(i, text(rng.randint(20, 60)) + (" vile" if i % 4 == 0 else "")) for i in range(100, 260)]
-    texts += [(300 + i, texts[4 * i + 1][1].replace(" ", "  ", 1)) for i in range(10)]
-    texts += [(400 + i, f"{text(10)} {items[i % 3][1]} {text(10)}") for i in range(6)]
+    texts = [(i, text(rng.randint(20, 60)) + (" vile" if i % 4 == 0 else "")) for i in range(100, 400)]
+    texts += [(3000 + i, texts[4 * i + 1][1].replace(" ", "  ", 1)) for i in range(10)]
+    texts += [(4000 + i, f"{text(10)} {items[i % 3][1]} {text(10)}") for i in range(6)]
     base = text(600)
-    texts += [(500, base), (501, base + " " + word()), *ODD]
+    texts += [(5000, base), (5001, base + " " + word()), *ODD]
     save(docs(spark, texts), tmp_path, "documents")
-    save(frame(spark, [{"doc_id": i, "quality": 1, "toxic": int("vile" in t)} for i, t in texts if i and 100 <= i < 260], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    save(frame(spark, [{"doc_id": i, "quality": 1, "toxic": int("vile" in t)} for i, t in texts if i and 100 <= i < 400], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     save(frame(spark, [{"item_id": i, "text": t} for i, t in items], "item_id long, text string"), tmp_path, "benchmark")
     left = [(i, t) for i, t in texts if "vile" not in (t or "")]
     out = {}

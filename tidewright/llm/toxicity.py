@@ -30,6 +30,8 @@ TRAIN_ROWS = 20_000
 #: Most terms in the model.
 TERMS = 1_024
 FACTORS = 8
+#: How far from the whole's toxic share a term has to be, in standard errors, to enter the model.
+LEAST_Z = 2.5
 #: Lengths of the stems that are terms of their own.
 STEMS = (4, 5, 6, 7)
 _TERM = re.compile(r"\w+")
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     # the signed root of a two-by-two test: how far the toxic share among a term's documents is from the whole's
     z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
     least = max(2, min(5, int(positive // 50)))
-    chosen = counts.filter(F.col("n") >= least).withColumn("z", F.abs(z)).orderBy(F.desc("z"), "term").limit(most_terms).select("term").collect()
+    chosen = counts.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most_terms).select("term").collect()
     model.index = {r[0]: i for i, r in enumerate(chosen)}
     if not chosen:
         return model
