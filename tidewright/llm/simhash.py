@@ -35,6 +35,8 @@ RADIUS = 2
 BUCKET = 64
 #: Most buckets of more than two members (two longs each) that are broadcast; more are joined by a shuffle.
 BROADCAST = 400_000
+#: Distinct fingerprints (with 64 variants each) that one task indexes, about.
+NODES_PER_TASK = 16_384
 #: Shingles whose hashes are in memory at a time.
 CHUNK = 1 << 18
 
@@ -102,6 +104,7 @@ def _near(a: str, b: str):
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``nodes.fp`` that have the same components as all pairs in reach."""
+    nodes = nodes.repartition(max(1, -(-nodes.count() // NODES_PER_TASK)))  # small rows, so that their variants fit in memory
     sizes = materialize(_variants(nodes).groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
     two = sizes.filter("n = 2").filter(_near("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = small(sizes.filter("n > 2").select("bucket", "n"), BROADCAST)
