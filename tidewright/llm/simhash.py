@@ -127,10 +127,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return grouped(rows)
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``near_duplicates`` from rows of doc_id and fp; other columns stay, and ``root`` names the component."""
+def grouped(rows: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """``near_duplicates`` from rows of doc_id and fp; other columns stay, and ``root`` names the component.
+
+    ``linked`` gives other links (u, v) of the values of ``fp`` than ``links``."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    roots = connected_components(links(nodes.select("fp")) if linked is None else linked).withColumnRenamed("node", "fp")
     labelled = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(smallest, "root").select("fp", "root", "component_id")
@@ -139,7 +141,12 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (null ids last)."""
-    rows = materialize(near_duplicates(docs, text, key, shingle, seed), "simhash-components")
+    return first_of_groups(docs, near_duplicates(docs, text, key, shingle, seed), text, key)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each root of ``rows`` (doc_id, h, root for each row of ``docs``)."""
+    rows = materialize(rows, "simhash-components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
     decided = rows.join(first, "root", "left").select("doc_id", "h", (F.col("first").isNull() | (rank == F.col("first"))).alias("kept"))
