@@ -262,6 +262,35 @@ def test_decontamination_query(spark, tmp_path):
     assert queries.op8_decontamination(spark, folder).count() == 0
 
 
+def test_long_and_repeating_texts_are_scanned_in_chunks(spark):
+    words = [f"w{i * i % 9973}" for i in range(200_000)]
+    goal = " ".join(f"g{i}" for i in range(30))
+    words[150_000:150_000] = goal.split()
+    texts = [(1, "x " * 20_000), (2, " ".join(words)), (3, " ".join(words[:100])), (4, "x " * 9)]
+    items = [{"item_id": 1, "text": "x " * 12}, {"item_id": 2, "text": goal}, {"item_id": 2, "text": " ".join(words[50:80])}, {"item_id": None, "text": goal}]
+    got = decontam.matches(docs(spark, texts), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (2, None), (3, 2)}
+    assert {r.start for r in got if r.doc_id == 2} <= {50, 150_000} and all(r.similarity == 1 for r in got)
+
+
+def test_windows_of_edited_items_are_found(spark):
+    """Recall of fingerprints and blocks against all windows, for items of 5 to 60 words with several edits each."""
+    rng = random.Random(12)
+    items, texts = [], []
+    for i in range(120):
+        goal = [f"v{rng.randrange(3000)}" for _ in range(5 + i % 56)]
+        items.append((i, " ".join(goal)))
+        own = list(goal)
+        for _ in range(rng.randint(0, 1 + len(goal) // 25)):
+            at = rng.choice([0, 1, len(own) - 1, rng.randrange(len(own))])
+            own[at : at + 1] = rng.choice([["new"], [], [own[at], "more"]])
+        texts.append((i, " ".join([f"o{rng.randrange(3000)}" for _ in range(30)] + own + [f"o{rng.randrange(3000)}" for _ in range(30)])))
+    got = decontam.matches(docs(spark, texts), frame(spark, [{"item_id": i, "text": t} for i, t in items], "item_id long, text string")).collect()
+    want, found = brute_leaks(texts, items), {(r.doc_id, r.item_id) for r in got}
+    assert found <= want and len(want) > 60 and len(found) >= 0.95 * len(want), (len(found), len(want))
+    print(f"recall {len(found)} of {len(want)}")
+
+
 def brute_pieces(text, library, width=2048):
     ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
     return [(a, len(ids[a : a + width]), zlib.crc32(ids[a : a + width].tobytes()), len(ids)) for a in range(0, len(ids), width)]
