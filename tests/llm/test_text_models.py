@@ -190,6 +190,38 @@ def test_no_labels_or_one_label(spark, tmp_path):
     assert queries.op3_quality(spark, str(tmp_path)).count() == queries.op4_toxicity(spark, str(tmp_path)).count() == 0
 
 
+def test_machine_learns_a_pair_of_neutral_words():
+    """Toxic is a text with exactly one of two words: each alone has equal shares in both labels."""
+    r = np.random.default_rng(3)
+    sets, y = [], []
+    for _ in range(2000):
+        a, b = r.integers(0, 2, 2)
+        sets.append(np.unique([*(r.choice(150, 20, replace=False) + 2), *[0] * a, *[1] * b]))
+        y.append(float(a != b))
+    y = np.asarray(y)
+    machine = toxicity.FactorizationMachine(152, scaled=True)
+    machine.fit(sets[:1600], y[:1600])
+    of = np.repeat(np.arange(400), [len(s) for s in sets[1600:]])
+    assert ((machine.margin(np.concatenate(sets[1600:]), None, 400, of) > 0) == y[1600:]).mean() > 0.95
+
+
+def test_no_language_is_left_out_and_pruned_mass_goes_to_the_back_off():
+    r = np.random.default_rng(5)
+    words = {f"l{j:03d}": ["".join(chr(97 + c) for c in r.integers(0, 6, 5) + j % 20) for _ in range(30)] for j in range(120)}
+    counts = {k: langid._summed(langid.packed(w)[0], np.ones(len(langid.packed(w)[0]), np.int64)) for k, w in words.items()}
+    model = langid.Model(counts)
+    got = model.decide(model.entropies([" ".join(words[k]) for k in sorted(words)]))
+    assert len(model.langs) == 120 and (got["lang_pred"] == sorted(words)).mean() > 0.95
+    keys, n = counts["l000"]
+    for most in (None, 20):
+        level = langid.Level(keys, n + np.arange(len(n)) % 3, most)
+        own = np.unique(keys >> np.uint64(16))
+        units = np.unique(keys & np.uint64(0xFFFF))
+        grams = (own[:, None] << np.uint64(16) | units).ravel()
+        p = level.probability(grams, np.full(len(grams), 1 / len(units)))
+        np.testing.assert_allclose(p.reshape(len(own), -1).sum(1), 1)
+
+
 def test_toxicity_learns_a_pair(spark, tmp_path):
     """Neither word alone is toxic; together they are."""
     rng = np.random.default_rng(2)

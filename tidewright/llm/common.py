@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch, ship
 
-__all__ = ["fold", "groups_by_size", "keep_rows", "materialize", "pieces", "sampled", "ship", "small"]
+__all__ = ["fold", "groups_by_size", "keep_rows", "lean", "lean_batches", "materialize", "pieces", "sampled", "ship", "small"]
 
+#: Rows of a frame that an operator works on at a time.
+ROWS = 1_024
 _SPACE = re.compile(r"\s")
 
 #: What `[\x20\x09-\x0D]` means in every contract: ASCII white space.
@@ -37,7 +45,8 @@ def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     if total <= bound:
         return df
     keep = max(1, int(bound / total * 0.97 * 1_000_000))
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < keep).limit(bound)
+    rank = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000))
+    return df.filter(rank < keep).orderBy(rank, *[c for c, t in df.dtypes if "map" not in t]).limit(bound)
 
 
 def pieces(text: str, size: int = 1 << 20):
@@ -65,6 +74,34 @@ def groups_by_size(texts: list, most: int = 4 << 20):
         yield begin, len(texts)
 
 
+def release() -> None:
+    """Give a worker's unused memory back to the system; workers are kept for later tasks, which may need it elsewhere."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean_batches(batches: Iterator) -> Iterator:
+    """The batches, with memory given back after the last."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def lean(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``function`` on frames of at most ``ROWS`` rows, with the memory that it has used given back at the end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from function(b.iloc[a : a + ROWS] for b in batches for a in range(0, len(b), ROWS))
+        finally:
+            release()
+
+    return run
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has no more than ``most`` rows."""
     return F.broadcast(df) if df.count() <= most else df

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, ship, small
+from .common import keep_rows, lean, materialize, ship, small
 
 #: Bits of a fingerprint.
 BITS = 64
@@ -90,6 +90,7 @@ def repeated_fingerprints(rows: DataFrame, n: int) -> DataFrame:
     """Fingerprints (column ``fp``) that ``rows`` holds more than once, through merged counting quotient filters."""
     q = _quotient_bits(n)
 
+    @lean
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = CountingQuotientFilter(q)
         for b in batches:
@@ -97,6 +98,7 @@ def repeated_fingerprints(rows: DataFrame, n: int) -> DataFrame:
         for block, (remainders, counts) in own.blocks.items():
             yield pd.DataFrame({"block": [block], "remainders": [remainders.astype("<u8").tobytes()], "counts": [counts.astype("<u4").tobytes()]})
 
+    @lean
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come sorted by block, so that one block at a time is in memory
         own, at = CountingQuotientFilter(q), None
@@ -122,6 +124,7 @@ def repeated_fingerprints(rows: DataFrame, n: int) -> DataFrame:
 def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Per row: doc_id (the key as a long), h (xxhash64 of the text as it is), text_sha256, fp."""
 
+    @lean
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             data = [normalise(t) for t in b["text"]]
@@ -147,6 +150,7 @@ def _decided(docs: DataFrame, text: str, key: str) -> DataFrame:
     repeated = materialize(repeated_fingerprints(rows, rows.count()), "exact-repeated")
     repeated = small(repeated, BROADCAST)
 
+    @lean
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             data = [normalise(t) for t in b["text"]]

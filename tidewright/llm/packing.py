@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bounded, Vocabulary, common, default_path, words
-from .common import materialize, ship
+from .common import lean, materialize, ship
 
 WIDTH = 2048
 CLOSING = 1
@@ -74,6 +74,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = W
     path, tail = tokenizer, np.asarray([closing], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
+    @lean
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewright.llm import packing
 

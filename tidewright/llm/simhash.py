@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, ship, small
+from .common import keep_rows, lean, materialize, ship, small
 from .components import connected_components
 
 WIDTH = 32
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     """Per row: doc_id, h (xxhash64 of the text), fp (the fingerprint's 64 bits as a signed long)."""
     ship(docs.sparkSession)
 
+    @lean
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b["text"]], np.uint64)

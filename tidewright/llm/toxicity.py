@@ -1,13 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are the distinct lower-cased runs of word characters and the stems of longer ones (their first 4 to 7
-characters), hashed into 2**20 numbers. A bounded sample of labelled rows gives each term's document counts by label; the terms that separate the labels most make the model's
-vocabulary. The machine has a weight and a vector per term, and adds to the linear sum the products of the vectors of all
-pairs of terms that a text holds, so that two terms together can say more than their weights add up to.
+characters), hashed into 2**20 numbers. The machine has a weight and a vector for every number; nothing is left out by a
+test of its own. It adds to the linear sum the products of the vectors of all pairs of terms that a text holds, over the
+root of their number, so that two terms together can say more than their weights add up to, also two that say nothing
+alone. Weights start from each term's own association with the label and are fitted under a lasso penalty, vectors under
+one that lets them vanish as a whole; numbers that no learned row has keep a weight and a vector of zero. Terms of a
+single learned row cannot be told from its label and are not fitted.
 
 Defined results: a null or empty text has the score of the bias alone; with no labelled rows, or only one label, every
 score is the smoothed share of toxic rows. Null ids and null labels are never learned from; several labels of one id
-count as the largest. Repeated rows score alike; other columns of the input stay as they are.
+count as the largest. Repeated rows score alike, and so do texts with the same terms; very long texts are read whole, piece
+by piece. Other columns of the input stay as they are, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,18 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bounded
-from .common import materialize, pieces, sampled, ship
+from .common import lean, lean_batches, materialize, pieces, sampled, ship
 
 HASH_BITS = 20
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
-#: Most terms in the model.
-TERMS = 1_024
 FACTORS = 8
-#: How far from the whole's toxic share a term has to be, in standard errors, to enter the model.
-LEAST_Z = 2.5
+#: Lasso penalty of weights, penalty of vectors, rate, share of a term's association that its weight starts from.
+L1, L2, RATE, WARM = 1e-3, 3e-4, 0.15, 0.3
+#: Standard errors that chance makes; associations are reduced by them before weights start from them.
+CHANCE = 2.5
+#: Steps of mini-batches to take at least.
+STEPS = 1_000
 #: Lengths of the stems that are terms of their own.
 STEMS = (4, 5, 6, 7)
+#: Distinct tokens that a worker remembers.
+MEMO = 50_000
 _TERM = re.compile(r"\w+")
 
 
@@ -52,104 +60,115 @@ def terms(text: str | None, memo) -> set[int]:
 
 
 class FactorizationMachine:
-    """Logistic factorization machine on sets of features, fitted by Adagrad on mini-batches."""
+    """Logistic factorization machine on sets of features, fitted by Adagrad on mini-batches with proximal penalties."""
 
-    def __init__(self, features: int, factors: int = FACTORS, seed: int = 7):
+    def __init__(self, features: int, factors: int = FACTORS, seed: int = 7, scaled: bool = False):
         r = np.random.default_rng(seed)
         self.bias, self.w, self.v = 0.0, np.zeros(features), r.normal(0, 0.01, (features, factors))
+        self.scaled = scaled  # whether the sum over pairs is taken over the root of the set's size
 
-    def margin(self, ids: np.ndarray, starts: np.ndarray, rows: int, of: np.ndarray) -> np.ndarray:
+    def margin(self, ids: np.ndarray, starts: np.ndarray | None, rows: int, of: np.ndarray) -> np.ndarray:
         """Of ``rows`` sets; ids are the features in order of set, ``of`` each one's set."""
-        out = np.full(rows, self.bias)
-        if len(ids):
-            out += np.bincount(of, self.w[ids], rows)
-            s = np.stack([np.bincount(of, self.v[ids, k], rows) for k in range(self.v.shape[1])], 1)
-            out += 0.5 * ((s**2).sum(1) - np.bincount(of, (self.v[ids] ** 2).sum(1), rows))
-        return out
-
-    def fit(self, sets: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.15, l2: float = 2e-4, seed: int = 7) -> None:
-        r = np.random.default_rng(seed)
+        return self._margin(ids, rows, of)[0]
+
+    def _margin(self, ids: np.ndarray, rows: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Margins, scales of the sums over pairs, sums of vectors."""
+        scale = np.maximum(np.bincount(of, minlength=rows), 1) ** -0.5 if self.scaled else np.ones(rows)
+        s = np.stack([np.bincount(of, self.v[ids, k], rows) for k in range(self.v.shape[1])], 1)
+        pairs = (s**2).sum(1) - np.bincount(of, (self.v[ids] ** 2).sum(1), rows)
+        return self.bias + np.bincount(of, self.w[ids], rows) + 0.5 * scale * pairs, scale, s
+
+    def start(self, sets: list[np.ndarray], labels: np.ndarray) -> None:
+        """Begin from each feature's association with the label, in standard errors beyond chance."""
+        n = np.zeros(len(self.w))
+        p = np.zeros(len(self.w))
+        for x, label in zip(sets, labels):
+            n[x] += 1
+            p[x] += label
         share = labels.mean()
         self.bias = float(np.log(share / (1 - share)))
-        gb, gw, gv = 1e-3, np.full(self.w.shape, 1e-3), np.full(self.v.shape, 1e-3)
+        z = (p - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+        self.w[:] = WARM * np.sign(z) * np.maximum(np.abs(z) - CHANCE, 0)
+
+    def fit(self, sets: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, rate: float = RATE, l1: float = L1, l2: float = L2, seed: int = 7) -> None:
+        r = np.random.default_rng(seed)
+        self.start(sets, labels)
+        gb, gw, gv = 1e-3, np.full(self.w.shape, 1e-3), np.full(len(self.v), 1e-3)
         batch = max(8, min(128, len(labels) // 20))
-        for _ in range(epochs):
+        for _ in range(max(4, -(-steps * batch // len(labels)))):
             order = r.permutation(len(labels))
             for a in range(0, len(order), batch):
                 take = order[a : a + batch]
-                n = [len(sets[i]) for i in take]
                 ids = np.concatenate([sets[i] for i in take])
-                of = np.repeat(np.arange(len(take)), n)
-                p = 1 / (1 + np.exp(-self.margin(ids, None, len(take), of).clip(-30, 30)))
-                e = (p - labels[take]) / len(take)
+                of = np.repeat(np.arange(len(take)), [len(sets[i]) for i in take])
+                m, scale, s = self._margin(ids, len(take), of)
+                e = (1 / (1 + np.exp(-m.clip(-30, 30))) - labels[take]) / len(take)
                 g = e.sum()
                 gb += g * g
                 self.bias -= rate * g / np.sqrt(gb)
-                if not len(ids):
-                    continue
-                s = np.stack([np.bincount(of, self.v[ids, k], len(take)) for k in range(self.v.shape[1])], 1)
                 u, at = np.unique(ids, return_inverse=True)
-                g = np.bincount(at, e[of], len(u)) + l2 * self.w[u]
+                g = np.bincount(at, e[of], len(u))
                 gw[u] += g * g
-                gv_ = e[of][:, None] * (s[of] - self.v[ids])
-                gu = np.stack([np.bincount(at, gv_[:, k], len(u)) for k in range(self.v.shape[1])], 1) + l2 * self.v[u]
-                gv[u] += gu * gu
-                self.w[u] -= rate * g / np.sqrt(gw[u])
-                self.v[u] -= 0.5 * rate * gu / np.sqrt(gv[u])
+                step = rate / np.sqrt(gw[u])
+                x = self.w[u] - step * g
+                self.w[u] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
+                each = (e * scale)[of][:, None] * (s[of] - self.v[ids])
+                g = np.stack([np.bincount(at, each[:, k], len(u)) for k in range(self.v.shape[1])], 1)
+                gv[u] += (g * g).mean(1)
+                step = 0.5 * rate / np.sqrt(gv[u])[:, None]
+                x = self.v[u] - step * g
+                self.v[u] = x * np.maximum(0, 1 - step * l2 / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12))
 
 
 class Model:
+    """A machine over the numbers that have a weight or a vector; ``kept`` holds them in order."""
+
     def __init__(self, share: float):
         self.share = share
-        self.index: dict[int, int] = {}
+        self.kept = np.empty(0, np.int64)
         self.machine: FactorizationMachine | None = None
 
+    def features(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of the numbers in ``kept``, the others left out."""
+        at = np.searchsorted(self.kept, numbers).clip(0, max(0, len(self.kept) - 1))
+        return at[self.kept[at] == numbers] if len(self.kept) else at[:0]
+
     def score(self, texts: list, memo) -> np.ndarray:
         if self.machine is None:
             return np.full(len(texts), self.share)
-        found = [np.fromiter(terms(t, memo), np.int64) for t in texts]
+        found = [self.features(np.fromiter(terms(t, memo), np.int64)) for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         ids = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
         return 1 / (1 + np.exp(-self.machine.margin(ids, None, len(texts), of).clip(-30, 30)))
 
-    def memo(self) -> Bounded:
-        """Maps a white-space token to the model's features in it."""
-        index = self.index
-        return Bounded(lambda token: tuple(index[h] for h in hashed(token) if h in index))
-
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", most_rows: int = TRAIN_ROWS, most_terms: int = TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled documents where ``learn``, a condition on column ``doc_id``, holds."""
     ship(docs.sparkSession)
     own = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull()).filter(learn)
     own = sampled(materialize(own.groupBy("doc_id").agg(F.max("label").alias("label")), "toxicity-labels"), "doc_id", most_rows)
 
+    @lean
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Bounded(hashed, 100_000)
+        memo = Bounded(hashed, MEMO)
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "terms": [sorted(terms(t, memo)) for t in b["text"]]})
+            yield pd.DataFrame({"label": b["label"], "h": b["h"], "terms": [sorted(terms(t, memo)) for t in b["text"]]})
 
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # at most `most_rows` rows of two numbers are broadcast
-    rows = materialize(texts.join(F.broadcast(own), "doc_id").select("label", "text").mapInPandas(collect, "label int, terms array<long>").withColumn("row", F.monotonically_increasing_id()), "toxicity-terms")
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    model = Model((positive + 1) / (n + 2))
-    if not positive or positive == n:
+    # at most `most_rows` rows of two numbers are broadcast; equal texts of one label teach once, which bounds ids on many rows
+    rows = texts.join(F.broadcast(own), "doc_id").select("label", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInPandas(collect, "label int, h long, terms array<long>").dropDuplicates(["h", "label"])
+    rows = sampled(materialize(rows, "toxicity-terms"), "h", most_rows)
+    got = rows.toPandas().sort_values(["h", "label"])  # at most `most_rows`
+    labels_ = got["label"].to_numpy(np.float64)
+    model = Model((labels_.sum() + 1) / (len(got) + 2))
+    if not labels_.sum() or labels_.all():
         return model
-    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    share = positive / n
-    # the signed root of a two-by-two test: how far the toxic share among a term's documents is from the whole's
-    z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    least = max(2, min(5, int(positive // 50)))
-    chosen = counts.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most_terms).select("term").collect()
-    model.index = {r[0]: i for i, r in enumerate(chosen)}
-    if not chosen:
-        return model
-    wanted = F.array(*[F.lit(r[0]).cast("long") for r in chosen])  # at most `most_terms`
-    got = rows.select("row", "label", F.array_intersect("terms", wanted).alias("terms")).toPandas().sort_values("row")  # at most `most_rows`
-    sets = [np.asarray([model.index[x] for x in t], np.int64) for t in got["terms"]]
-    machine = FactorizationMachine(len(chosen))
-    machine.fit(sets, got["label"].to_numpy(np.float64))
+    numbers, counts = np.unique(np.concatenate([np.asarray(t, np.int64) for t in got["terms"]] or [np.empty(0, np.int64)]), return_counts=True)
+    model.kept = numbers[counts > 1]
+    sets = [model.features(np.asarray(t, np.int64)) for t in got["terms"]]
+    machine = FactorizationMachine(len(model.kept), scaled=True)
+    machine.fit(sets, labels_)
     model.machine = machine
     return model
 
@@ -161,8 +180,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = shared.value.memo()
-        for b in batches:
+        memo = Bounded(hashed, MEMO)
+        for b in lean_batches(batches):
             yield pd.Series(shared.value.score(b.tolist(), memo))
 
     return docs.withColumn(out, predict(F.col(text)))

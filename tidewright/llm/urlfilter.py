@@ -8,7 +8,8 @@ rest are posted under their rarest token in an inverted index; a url looks up it
 of a posted rule are its own.
 
 Defined results: a url that is null or without ``://`` has an empty host and path, no tokens, no rule and verdict allow.
-With no labelled or no blocked urls nothing is mined. Repeated rows are judged alike; other columns stay as they are,
+With no labelled or no blocked urls nothing is mined. Of fixed rules of equal length the one last by name wins. Long urls
+are read whole. Repeated rows are judged alike; other columns stay as they are,
 but for those named like results, which are replaced.
 """
 
@@ -23,8 +24,6 @@ from .common import ship  # noqa: F401  (the executors need no code of ours here
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-#: Most tokens of a mined rule, and most mined rules that are kept (those of the highest support).
-MOST_TOKENS, MOST_RULES = 4, 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
 
@@ -102,15 +101,19 @@ def mine(labelled: DataFrame, tokens_: str = "tokens", verdict: str = "verdict",
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = (
         model.associationRules.filter(F.array_contains("consequent", label + BLOCK))
-        .filter((F.size("antecedent") <= MOST_TOKENS) & ~F.exists("antecedent", lambda t: t.startswith(label)))
+        .filter(~F.exists("antecedent", lambda t: t.startswith(label)))
         .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-        .orderBy(F.size("antecedent"), F.desc("support"), "tokens").limit(20 * MOST_RULES).collect()
+        .orderBy(F.size("antecedent"), F.desc("support"), "tokens")
     )
+    # shorter ones come first, so that those they imply go; how many are left depends on support alone
     kept: list[tuple[tuple[str, ...], float, float]] = []
-    for r in found:
-        if not any(set(k) <= set(r["tokens"]) for k, _, _ in kept):
+    under: dict[str, list[frozenset[str]]] = {}
+    for r in found.toLocalIterator():
+        own = frozenset(r["tokens"])
+        if not any(k <= own for t in own for k in under.get(t, ())):
             kept.append((tuple(r["tokens"]), r["confidence"], r["support"]))
-    kept = sorted(kept, key=lambda k: (-k[2], k[0]))[:MOST_RULES]
+            under.setdefault(r["tokens"][0], []).append(own)
+    kept.sort(key=lambda k: (-k[2], k[0]))
     wanted = sorted({t for k, _, _ in kept for t in k})
     one = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").filter(F.col("t").isin(wanted)) if wanted else None
     return Mined(kept), {r["t"]: r["freq"] for r in one.collect()} if one is not None else {}
