@@ -157,18 +157,25 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # at most `most_rows` rows of two numbers are broadcast; equal texts of one label teach once, which bounds ids on many rows
     rows = texts.join(F.broadcast(own), "doc_id").select("label", F.xxhash64("text").alias("h"), "text")
-    rows = rows.mapInPandas(collect, "label int, h long, terms array<long>").dropDuplicates(["h", "label"])
+    rows = rows.mapInPandas(collect, "label int, h long, terms array<int>").dropDuplicates(["h", "label"])
     rows = sampled(materialize(rows, "toxicity-terms"), "h", most_rows)
-    got = rows.toPandas().sort_values(["h", "label"])  # at most `most_rows`
-    labels_ = got["label"].to_numpy(np.float64)
-    model = Model((labels_.sum() + 1) / (len(got) + 2))
+    got = rows.toArrow().combine_chunks()  # at most `most_rows`; numbers of 32 bits, which sets are cut from without a copy
+    labels_ = got["label"].to_numpy().astype(np.float64)
+    model = Model((labels_.sum() + 1) / (len(labels_) + 2))
     if not labels_.sum() or labels_.all():
         return model
-    numbers, counts = np.unique(np.concatenate([np.asarray(t, np.int64) for t in got["terms"]] or [np.empty(0, np.int64)]), return_counts=True)
-    model.kept = numbers[counts > 1]
-    sets = [model.features(np.asarray(t, np.int64)) for t in got["terms"]]
+    lists = got["terms"].combine_chunks()
+    numbers, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
+    order = np.lexsort((labels_, got["h"].to_numpy()))
+    del got, lists
+    places = (np.bincount(numbers, minlength=1 << HASH_BITS) > 1).cumsum(dtype=np.int32)
+    fitted = np.diff(places, prepend=np.int32(0)) > 0
+    model.kept = np.flatnonzero(fitted)
+    sets = [x[fitted[x]] for x in np.split(numbers, ends[:-1])]
+    sets = [places[sets[i]] - 1 for i in order]
+    del numbers
     machine = FactorizationMachine(len(model.kept), scaled=True)
-    machine.fit(sets, labels_)
+    machine.fit(sets, labels_[order])
     model.machine = machine
     return model
 
