@@ -40,6 +40,8 @@ CHANCE = 2.5
 STEPS = 1_000
 #: Lengths of the stems that are terms of their own.
 STEMS = (4, 5, 6, 7)
+#: Texts that are scored at a time.
+ROWS = 128
 #: Distinct tokens that a worker remembers.
 MEMO = 50_000
 _TERM = re.compile(r"\w+")
@@ -59,6 +61,15 @@ def terms(text: str | None, memo) -> set[int]:
     return out
 
 
+def _sums(values: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``of``, which is in order."""
+    out = np.zeros((rows, values.shape[1]))
+    if len(of):
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        out[of[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
 class FactorizationMachine:
     """Logistic factorization machine on sets of features, fitted by Adagrad on mini-batches with proximal penalties."""
 
@@ -74,8 +85,9 @@ class FactorizationMachine:
     def _margin(self, ids: np.ndarray, rows: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Margins, scales of the sums over pairs, sums of vectors."""
         scale = np.maximum(np.bincount(of, minlength=rows), 1) ** -0.5 if self.scaled else np.ones(rows)
-        s = np.stack([np.bincount(of, self.v[ids, k], rows) for k in range(self.v.shape[1])], 1)
-        pairs = (s**2).sum(1) - np.bincount(of, (self.v[ids] ** 2).sum(1), rows)
+        own = self.v[ids]
+        s = _sums(own, of, rows)
+        pairs = (s**2).sum(1) - np.bincount(of, (own**2).sum(1), rows)
         return self.bias + np.bincount(of, self.w[ids], rows) + 0.5 * scale * pairs, scale, s
 
     def start(self, sets: list[np.ndarray], labels: np.ndarray) -> None:
@@ -113,7 +125,8 @@ class FactorizationMachine:
                 x = self.w[u] - step * g
                 self.w[u] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
                 each = (e * scale)[of][:, None] * (s[of] - self.v[ids])
-                g = np.stack([np.bincount(at, each[:, k], len(u)) for k in range(self.v.shape[1])], 1)
+                by = np.argsort(at, kind="stable")
+                g = _sums(each[by], at[by], len(u))
                 gv[u] += (g * g).mean(1)
                 step = 0.5 * rate / np.sqrt(gv[u])[:, None]
                 x = self.v[u] - step * g
@@ -136,10 +149,13 @@ class Model:
     def score(self, texts: list, memo) -> np.ndarray:
         if self.machine is None:
             return np.full(len(texts), self.share)
+        out = [self._score(texts[a : a + ROWS], memo) for a in range(0, len(texts), ROWS)]  # bounds what is in memory
+        return np.concatenate(out) if out else np.empty(0)
+
+    def _score(self, texts: list, memo) -> np.ndarray:
         found = [self.features(np.fromiter(terms(t, memo), np.int64)) for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
-        ids = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
-        return 1 / (1 + np.exp(-self.machine.margin(ids, None, len(texts), of).clip(-30, 30)))
+        return 1 / (1 + np.exp(-self.machine.margin(np.concatenate(found), None, len(texts), of).clip(-30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model:
