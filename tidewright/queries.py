@@ -166,15 +166,14 @@ def utc_window_assign(spark, sf_dir):
 
 
 def latest_registry_of_events(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").filter("event_id % 7 = 0")
-    e = e.select(F.format_string('{"schema_generation":%d,"event":%d}', F.col("user_id"), F.col("event_id")).alias("schema_registry"), F.date_trunc("day", "ts").alias("ingestion_timestamp"), F.col("event_id").alias("part"))
+    e = _table(spark, sf_dir, "events").select(F.format_string('{"schema_generation":%d,"event":%d}', F.col("user_id"), F.col("event_id")).alias("schema_registry"), F.date_trunc("day", "ts").alias("ingestion_timestamp"), F.col("event_id").alias("part"))
     return latest_registry(e, ("part",))
 
 
 def sidecar_merge(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
-    old = c.filter("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_mktsegment").alias("state"))
-    new = c.filter("c_custkey % 2 = 0").select("c_custkey", "c_name", F.lit("new").alias("state"))
+    old = c.select("c_custkey", "c_name", F.col("c_mktsegment").alias("state"))
+    new = c.select((2 * F.col("c_custkey")).alias("c_custkey"), "c_name", F.lit("new").alias("state"))
     return upsert(old, new, "c_custkey")
 
 
@@ -271,8 +270,8 @@ SQL = {
     "etl_columns": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS registries, CAST(1 AS BIGINT) AS drifts, CAST(1 AS BIGINT) AS stamps FROM nation",
     "hive_partition_counts": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day, count(*) AS n FROM orders GROUP BY ALL",
     "utc_window_assign": "SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2",
-    "latest_registry_of_events": """SELECT '{"schema_generation":' || user_id || ',"event":' || event_id || '}' AS schema_registry FROM events WHERE event_id % 7 = 0 ORDER BY date_trunc('day', ts) DESC, user_id DESC, event_id DESC LIMIT 1""",
-    "sidecar_merge": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS state FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0",
+    "latest_registry_of_events": """SELECT '{"schema_generation":' || user_id || ',"event":' || event_id || '}' AS schema_registry FROM events ORDER BY date_trunc('day', ts) DESC, user_id DESC, event_id DESC LIMIT 1""",
+    "sidecar_merge": "SELECT 2 * c_custkey AS c_custkey, c_name, 'new' AS state FROM customer UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT 2 * c_custkey FROM customer)",
     "schema_diff": "SELECT * FROM (VALUES ('added', 's_suppkey'), ('removed', 'key'), ('changed', 's_nationkey')) AS t(change, path)",
     "registry_drifts": "SELECT * FROM (VALUES ('active', 'active', 'newly_added', 'bool'), ('c_custkey', 'c_custkey_v2_string', 'new_version_generated', 'string')) AS t(source_path, output_name, drift_type, new_schema)",
     "wide_events": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END AS n, CASE WHEN l_quantity > 25 THEN '1:flag:' || l_returnflag || ',' ELSE '' END || '2:status:' || l_linestatus AS events FROM lineitem",
