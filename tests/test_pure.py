@@ -227,3 +227,18 @@ def test_big_random_evidence_ignores_repeats():
     for _, k, t in sent:
         again.add([(k, t)])
     assert whole.fields() == again.fields()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewright import session
+
+    conf = SimpleNamespace(get=lambda k, d=None: told.get(k, d))
+    told = {}
+    spark = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(spark(master))
+    told["spark.checkpoint.dir"] = "s3a://b/c/"
+    assert session.shared_dir(spark("yarn")) == "s3a://b/c"
