@@ -243,7 +243,9 @@ def test_analytical_helpers(spark):
 
 def test_events_and_hive(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", None), (2, None, 5)], "k int, `10/b` string, `2/a` int")
-    assert [[(e.event_id, e.event_text, e.payload) for e in r.event] for r in events.wide_to_events(df).orderBy("k").collect()] == [[(10, "b", "x")], [(2, "a", "5")]]
+    assert [[(e.event_id, e.event_text, e.payload) for e in r.event] for r in events.wide_to_events(df, drop_null=True).orderBy("k").collect()] == [[(10, "b", "x")], [(2, "a", "5")]]
+    assert events.event_columns(["10/b", "k", " 3 /b", "-2/a/b", "x/y", "/z", "4/"]) == [(10, "b", "10/b"), (3, "b", " 3 /b"), (-2, "a/b", "-2/a/b")]
+    assert [e.payload for e in events.wide_to_events(df).orderBy("k").first().event] == ["x", None]
     t = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3),)], "ts timestamp_ntz")
     assert events.write_hive(t, str(tmp_path / "h"), "ts").first().day == 2
     with pytest.raises(IntegrityError):

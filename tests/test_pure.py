@@ -9,16 +9,16 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tidewright.errors import IntegrityError, InvalidArgumentError
+from tidewright.errors import IntegrityError, InvalidArgumentError, ResourceError
 from tidewright.functions import names
 from tidewright.functions.scalars import Parsers, compact, resolve, text_of
 from tidewright.functions.types import LField, from_json, list_of, scalar, struct, to_json
 from tidewright.options import CsvOptions, Options, ParsingOptions, SanitizeOptions
 from tidewright.plans import registry as reg
-from tidewright.plans.evidence import Evidence, distinct_trees, fields_of
+from tidewright.plans.evidence import Evidence, distinct_trees, fields_of, packed, unpacked
 from tidewright.plans.pipeline import HiveRangeConfig, UtcWindow, assign_files, build_hive_range_plan, build_utc_daily_windows, check_windows, compact_uri, cpu_share, format_duration, render
 from tidewright.sources.files import RemoteFile, SourceManifest
-from tidewright.sources.parse import BadRow, Csv, json_row, xml_rows
+from tidewright.sources.parse import BadRow, Csv, json_row, json_value, xml_rows
 
 
 @pytest.mark.parametrize(("name", "policy", "out"), [
@@ -201,7 +201,14 @@ def test_pipelines_plan():
     files = [RemoteFile(f"s/{i}", "1", 1, dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc)) for i, d in enumerate((3, 1, 1))]
     assert {w.logical_date.day: [f.uri for f in fs] for w, fs in assign_files(files, windows).items()} == {1: ["s/1", "s/2"], 3: ["s/0"]}
     with pytest.raises(InvalidArgumentError):
-        check_windows([*windows, UtcWindow(dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 1, 6))])
+        check_windows([*windows, UtcWindow(dt.datetime(2024, 1, 1, 5, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 1, 6, tzinfo=dt.timezone.utc))])
+    with pytest.raises(InvalidArgumentError):  # no time zone
+        UtcWindow(dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 1, 6))
+    with pytest.raises(InvalidArgumentError):  # a sibling, not a child
+        SourceManifest("gs://b/data", (RemoteFile("gs://b/data2/x", "1"),))
+    assert len(SourceManifest("gs://b/data", (RemoteFile("gs://b/data/x", "1"), RemoteFile("gs://b/data", "1"))).files) == 2
+    assert (format_duration(4.25), format_duration(-1), format_duration(7205)) == ("4.2s", "0.0s", "2h 0m 5s")
+    assert compact_uri("a" * 50 + "b" * 100, 33) == "a" * 10 + "..." + "b" * 20 and compact_uri("a") == "a"
     plans = build_hive_range_plan(HiveRangeConfig(source_prefix="in/x", output_prefix="out/x", start_date=dt.date(2024, 1, 1), end_date=dt.date(2024, 1, 2), input_format="jsonl"))
     assert [p.source for p in plans] == [f"in/x/year=2024/month=01/date=2024-01-0{d}/x_2024010{d}.jsonl" for d in (1, 2)]
     assert render("a/{yyyymmdd}/{hour}.csv", dt.date(2024, 1, 2), 3) == "a/20240102/03.csv"
@@ -242,3 +249,29 @@ def test_a_cluster_needs_a_shared_folder():
             session.shared_dir(spark(master))
     told["spark.checkpoint.dir"] = "s3a://b/c/"
     assert session.shared_dir(spark("yarn")) == "s3a://b/c"
+
+
+def test_kind_trees_travel_as_data():
+    trees = [4, ("L", (4, ("S", (("L", 2), ("S", ("L", (1, 2))))))), ("S", (("a\ud800\"", ("S", (("b", 1),))), ("2", 8)))]
+    assert [unpacked(packed(t)) for t in trees] == trees
+    deep = 1
+    for i in range(5_000):
+        deep = ("L", (deep,)) if i % 2 else ("S", (("k", deep),))
+    text = packed(deep)
+    assert packed(unpacked(text)) == text
+
+
+def test_json_depth():
+    assert json_value("[" * 512 + "]" * 512) and json_value(json.dumps(["[" * 2000, '\\"[' * 600]))
+    with pytest.raises(ResourceError):
+        json_value("[" * 513 + "]" * 513)
+    with pytest.raises(ResourceError):
+        json_value('{"a":' * 513 + "1" + "}" * 513)
+
+
+def test_sources_of_one_batch_merge_once():
+    a, b = [LField("a", scalar("int64")), LField("b", scalar("utf8"))], [LField("a", scalar("float64")), LField("c", scalar("bool"))]
+    fields = reg.combined([a, b])
+    assert [(f.name, f.type.kind) for f in fields] == [("a", "float64"), ("b", "utf8"), ("c", "bool")]
+    out = reg.merge(fields)
+    assert out.registry["schema_generation"] == 2 and sorted(d.output_name for d in out.drifts) == ["a", "b", "c"]

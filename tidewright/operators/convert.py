@@ -28,7 +28,7 @@ from ..functions.types import LField, from_spark, scalar, struct, struct_of
 from ..options import Options, SanitizeOptions
 from ..plans import registry as reg
 from ..plans.coerce import Level, Mismatch
-from ..plans.evidence import Evidence, distinct_trees
+from ..plans.evidence import Evidence, distinct_trees, packed, unpacked
 from ..session import ship
 from ..sources.files import SourceManifest, input_paths
 from ..sources.parquet import read_in_workers, refused
@@ -142,7 +142,7 @@ def infer(reader: Reader, stats: dict | None = None) -> tuple[list[LField], tupl
 
             numbers: list[int] = []
             for i, key, t in distinct_trees(block(), parsers, o):
-                out.append((*n["at"], numbers[i], key, repr(t), 0))
+                out.append((*n["at"], numbers[i], key, packed(t), 0))
         if n["rows"]:
             out.append((*n["first"], None, None, n["rows"]))
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "pos", "key", "tree", "n"), x)) for x in out], schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("pos", pa.int64()), ("key", pa.string()), ("tree", pa.string()), ("n", pa.int64())]))
@@ -152,7 +152,7 @@ def infer(reader: Reader, stats: dict | None = None) -> tuple[list[LField], tupl
         place = F.struct("file", "block", "pos", "seq")
         least = sent.groupBy("key", "tree").agg(F.min(place).alias("place"), F.sum("n").alias("n")).collect()
         head = next((r for r in least if r["key"] is None), None)
-        entries = [(tuple(r["place"]), r["key"], eval(r["tree"], {"__builtins__": {}})) for r in least if r["key"] is not None]  # noqa: S307  (our own literals)
+        entries = [(tuple(r["place"]), r["key"], unpacked(r["tree"])) for r in least if r["key"] is not None]
         entries = _replayed(sent, entries)
     finally:
         sent.unpersist()
@@ -196,7 +196,7 @@ def _replayed(sent: DataFrame, entries: list[tuple]) -> list[tuple]:
         marks = [F.when(place >= F.struct(*[F.lit(x).alias(n) for x, n in zip(c, ("file", "block", "pos", "seq"))]), 1).otherwise(0) for c in changes]
         part = F.when(F.col("key") == key, reduce(lambda a, b: a + b, marks)).otherwise(part)
     rows = sent.filter(F.col("key").isin(list(again))).groupBy("key", "tree", part.alias("part")).agg(F.min(place).alias("place")).collect()
-    return out + [(tuple(r["place"]), r["key"], eval(r["tree"], {"__builtins__": {}})) for r in rows]  # noqa: S307
+    return out + [(tuple(r["place"]), r["key"], unpacked(r["tree"])) for r in rows]
 
 
 def materialise(reader: Reader, fields: tuple[LField, ...], stats: dict) -> DataFrame:
@@ -342,17 +342,15 @@ def _parquet(spark: SparkSession, paths: list[str], o: Options, registry, how: d
 
 def _typed(frames: list[DataFrame], o: Options, registry, how: dict, stats: dict, stamp: dt.datetime) -> Result:
     """Rows of typed frames, which carry their place columns, by expressions alone."""
-    merged, rows = None, None
-    plans = []
+    rows, batches, plans = None, [], []
     for df in frames:
         live = [(f.name, t) for f in df.schema.fields if f.name not in PLACE and (t := from_spark(f.dataType)) is not None]
         if clash := [n for n, _ in live if n in names.ETL_COLUMNS]:
             raise InvalidArgumentError(f"source fields with names of generated columns: {', '.join(clash)}")
         cleaned = names.clean_siblings([n for n, _ in live], o.field_name_policy, o.scalar_object_key)
-        fields = [LField(c, _cleaned(t, o)) for c, (_, t) in zip(cleaned, live)]
-        merged = reg.merge(fields, merged.registry if merged else registry, **how) if merged is None or fields else merged
+        batches.append([LField(c, _cleaned(t, o)) for c, (_, t) in zip(cleaned, live)])
         plans.append((df, dict(zip(cleaned, (n for n, _ in live)))))
-    drifts = merged.drifts
+    merged = reg.merge(reg.combined(batches, o.scalar_object_key), registry, **how)
     for df, columns in plans:
         place = df
         values, bad = _adapted(df.schema, columns, merged.fields, o)
@@ -370,7 +368,7 @@ def _typed(frames: list[DataFrame], o: Options, registry, how: dict, stats: dict
     stats["arrow_schema_depth"], stats["parquet_schema_depth"] = _depths(merged.fields)
     first = rows.agg(F.min(F.struct(*PLACE)).alias("p")).first()["p"]  # reads no column of the data but what a policy needs
     placed = _finished(rows, merged.fields, merged, tuple(first) if first else None, stamp)
-    return Result(placed, merged.fields, merged.registry, [d.__dict__ for d in drifts], o, stamp, stats)
+    return Result(placed, merged.fields, merged.registry, [d.__dict__ for d in merged.drifts], o, stamp, stats)
 
 
 def _cleaned(t, o: Options):

@@ -10,6 +10,7 @@ worker forgets what it has sent whenever a row brings one. The driver then repla
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,13 +22,47 @@ from ..options import Options
 # A kind tree is a kind's bit (int), ("L", trees) or ("S", ((key, tree), ...)).
 
 
+def packed(t) -> str:
+    """A tree as a flat JSON list, in prefix order: a bit, or a container's kind, its size and its parts."""
+    out, todo = [], [t]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            kind, inner = x
+            out += (kind, len(inner))
+            todo += reversed(inner if kind == "L" else [part for pair in inner for part in pair])
+        else:
+            out.append(x)
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unpacked(text: str):
+    """The tree that ``packed`` wrote; nothing is evaluated, and no depth is too large."""
+    tokens = iter(json.loads(text))
+    levels = [("L", 1, [])]  # kind, number of parts, parts so far
+    for x in tokens:
+        kind, _, parts = levels[-1]
+        if isinstance(x, str) and not (kind == "S" and len(parts) % 2 == 0):
+            n = next(tokens)
+            levels.append((x, n if x == "L" else 2 * n, []))
+            continue
+        parts.append(x)
+        while len(levels) > 1 and len(levels[-1][2]) == levels[-1][1]:
+            kind, _, parts = levels.pop()
+            levels[-1][2].append((kind, tuple(parts) if kind == "L" else tuple(zip(parts[::2], parts[1::2]))))
+    return levels[0][2][0]
+
+
 def _deepest(v, arrow: int, parquet: int, o: Options) -> bool:
     """Whether ``v``, standing at these depths, holds a container below the limits."""
-    if isinstance(v, list):
-        arrow += 1
-        return arrow > o.arrow_max_depth or parquet > o.parquet_max_depth or any(_deepest(x, arrow, parquet, o) for x in v if isinstance(x, (list, dict)))
-    arrow, parquet = arrow + 1, parquet + 1
-    return arrow > o.arrow_max_depth or parquet > o.parquet_max_depth or any(_deepest(x, arrow, parquet, o) for x in v.values() if isinstance(x, (list, dict)))
+    todo = [(v, arrow, parquet)]
+    while todo:
+        x, arrow, parquet = todo.pop()
+        arrow, parquet = arrow + 1, parquet + isinstance(x, dict)
+        if arrow > o.arrow_max_depth or parquet > o.parquet_max_depth:
+            return True
+        todo += [(y, arrow, parquet) for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (list, dict))]
+    return False
 
 
 def flattens(v, arrow: int, parquet: int, o: Options) -> bool:

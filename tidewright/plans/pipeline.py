@@ -20,7 +20,7 @@ RETENTION = ("full", "metadata_only", "streaming")
 
 @dataclass(frozen=True, order=True)
 class UtcWindow:
-    """A half-open time window, in UTC."""
+    """A half-open time window, in UTC; times without a zone are refused."""
 
     start: dt.datetime
     end: dt.datetime
@@ -28,7 +28,9 @@ class UtcWindow:
     def __post_init__(self):
         for name in ("start", "end"):
             v = getattr(self, name)
-            object.__setattr__(self, name, v.replace(tzinfo=dt.timezone.utc) if v.tzinfo is None else v.astimezone(dt.timezone.utc))
+            if v.utcoffset() is None:
+                raise InvalidArgumentError(f"a window's {name} needs a time zone")
+            object.__setattr__(self, name, v.astimezone(dt.timezone.utc))
         if self.start >= self.end:
             raise InvalidArgumentError("a window must start before it ends")
 
@@ -46,8 +48,8 @@ def build_utc_daily_windows(start: dt.date, end: dt.date) -> tuple[UtcWindow, ..
         raise TypeError("dates are needed, not times")
     if start > end:
         raise InvalidArgumentError("the first day must not be after the last")
-    days = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
-    return tuple(UtcWindow(dt.datetime.combine(d, dt.time()), dt.datetime.combine(d + dt.timedelta(days=1), dt.time())) for d in days)
+    marks = [dt.datetime.combine(start, dt.time(), dt.timezone.utc) + dt.timedelta(days=i) for i in range((end - start).days + 2)]
+    return tuple(map(UtcWindow, marks, marks[1:]))
 
 
 def check_windows(windows: Iterable[UtcWindow]) -> list[UtcWindow]:
@@ -303,24 +305,28 @@ class ParquetPipeline:
 
 
 def format_duration(seconds: float) -> str:
-    seconds = max(seconds, 0.0)
-    if seconds < 60:
-        return f"{seconds:.1f}s"
-    minutes, rest = divmod(seconds, 60)
-    return f"{int(minutes)}m {rest:.0f}s" if minutes < 60 else f"{int(minutes // 60)}h {int(minutes % 60)}m {rest:.0f}s"
+    """``4.2s``, ``1m 1s``, ``2h 0m 5s``; negative times count as none."""
+    left, parts = max(0.0, seconds), []
+    for unit, size in (("h", 3600), ("m", 60)):
+        n, left = divmod(left, size)
+        if n or parts:
+            parts.append(f"{n:.0f}{unit}")
+    return " ".join([*parts, f"{left:.0f}s" if parts else f"{left:.1f}s"])
 
 
 def cpu_share(wall: float, cpu: float) -> tuple[float, float]:
     """Percentages of wall time spent computing and waiting; they add up to 100."""
-    share = round(min(max(cpu, 0.0), wall) / wall * 100, 1) if wall > 0 else 0.0
-    return share, round(100 - share, 1)
+    if wall <= 0:
+        return 0.0, 100.0
+    _, busy, _ = sorted((0.0, round(100 * cpu / wall, 1), 100.0))
+    return busy, round(100 - busy, 1)
 
 
 def compact_uri(uri: str, most: int = 96) -> str:
-    if len(uri) <= most:
-        return uri
-    half = (most - 3) // 2
-    return f"{uri[:half]}...{uri[-(most - 3 - half):]}"
+    """A long uri without its middle: a third of what stays is its beginning, the rest its end."""
+    room = most - len("...")
+    cut = len(uri) - room
+    return uri if len(uri) <= most else "...".join((uri[: room // 3], uri[room // 3 + cut :]))
 
 
 def summary(run: PartitionRun) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.types import LField, scalar
 from .operators.analytical import diff_schemas, latest_registry, upsert
 from .operators.convert import sanitize
-from .operators.events import wide_to_events
+from .operators.events import wide_to_events, write_hive
 from .operators.writers import write_csv, write_jsonl, write_parquet
 from .plans import registry as reg
 from .plans.pipeline import assign_windows
@@ -156,8 +156,9 @@ def etl_columns(spark, sf_dir):
 
 
 def hive_partition_counts(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
-    return o.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.dayofmonth("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    """Orders written by day and counted as they are read back."""
+    written = write_hive(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), scratch(spark, "hive"), "o_orderdate")
+    return written.groupBy("year", "month", "day").agg(F.count("*").alias("n"))
 
 
 def utc_window_assign(spark, sf_dir):
@@ -193,7 +194,7 @@ def registry_drifts(spark, sf_dir):
 
 def wide_events(spark, sf_dir):
     t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).alias("1/flag"), F.col("l_linestatus").alias("2/status"))
-    return wide_to_events(t).select("l_orderkey", "l_linenumber", F.size("event").alias("n"), F.array_join(F.transform("event", lambda e: F.concat_ws(":", e["event_id"].cast("string"), e["event_text"], e["payload"])), ",").alias("events"))
+    return wide_to_events(t, drop_null=True).select("l_orderkey", "l_linenumber", F.size("event").alias("n"), F.array_join(F.transform("event", lambda e: F.concat_ws(":", e["event_id"].cast("string"), e["event_text"], e["payload"])), ",").alias("events"))
 
 
 def xml_rows(spark, sf_dir):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +26,20 @@ class RemoteFile:
     updated: dt.datetime | None = None
 
 
+def _place(uri: str) -> tuple[str, str]:
+    """Authority and path of a uri."""
+    parts = urlsplit(uri)
+    return parts.netloc.lower(), parts.path.strip("/")
+
+
+def _holds(source: str, uri: str) -> bool:
+    """Whether an object is the source itself or lies below it; a pattern holds what begins as it does."""
+    if "*" in source:
+        return uri.startswith(source.partition("*")[0])
+    (host, root), (own, path) = _place(source), _place(uri)
+    return host == own and (root in ("", path) or path.startswith(root + "/"))
+
+
 @dataclass(frozen=True)
 class SourceManifest:
     """An ordered, immutable set of objects under one prefix."""
@@ -34,9 +50,8 @@ class SourceManifest:
     def __post_init__(self):
         files = tuple(sorted(self.files, key=lambda f: (f.uri, f.generation or "")))
         object.__setattr__(self, "files", files)
-        prefix = self.uri if self.uri.endswith("/") else self.uri.rsplit("*", 1)[0]
         for f in files:
-            if not f.uri.startswith(prefix):
+            if not _holds(self.uri, f.uri):
                 raise InvalidArgumentError("a manifest's object lies outside its prefix")
             if not f.generation:
                 raise InvalidArgumentError("a manifest's objects need a generation")
@@ -106,6 +121,33 @@ def input_paths(spark: SparkSession, source, input_format: str, input_mode: str)
     return [fs.makeQualified(path).toString()]
 
 
+def _replace(spark: SparkSession, fs, made, out) -> None:
+    """Rename ``made`` to ``out``; an older file there is never gone before the new one stands.
+
+    Local files and HDFS replace in one step. Other stores have no such rename: there the old file is set aside, and comes
+    back if the new one cannot take its place.
+    """
+    scheme = fs.getScheme()
+    if scheme == "file":
+        os.replace(made.toUri().getPath(), out.toUri().getPath())
+        return
+    jvm = spark._jvm
+    if scheme in ("hdfs", "viewfs", "webhdfs", "swebhdfs"):
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(made, out, options)
+        return
+    aside = jvm.org.apache.hadoop.fs.Path(beside(out.toString())) if fs.exists(out) else None
+    if aside is not None and not fs.rename(out, aside):
+        raise IntegrityError(f"could not publish {out}")
+    if not fs.rename(made, out):
+        if aside is not None:
+            fs.rename(aside, out)
+        raise IntegrityError(f"could not publish {out}")
+    if aside is not None:
+        fs.delete(aside, False)
+
+
 def publish(spark: SparkSession, folder: str, target: str) -> int:
     """Move the single part file in ``folder`` to ``target`` by one rename; return its size."""
     fs, path = _fs(spark, folder)
@@ -115,10 +157,7 @@ def publish(spark: SparkSession, folder: str, target: str) -> int:
     out_fs, out = _fs(spark, target)
     n = fs.getFileStatus(parts[0]).getLen()
     out_fs.mkdirs(out.getParent())
-    if out_fs.exists(out):
-        out_fs.delete(out, False)
-    if not out_fs.rename(parts[0], out):
-        raise IntegrityError(f"could not publish {target}")
+    _replace(spark, out_fs, parts[0], out)
     fs.delete(path, True)
     _drop_checksum(spark, out_fs, out)
     return n
@@ -142,9 +181,6 @@ def publish_file_atomic(spark: SparkSession, local: str, uri: str) -> int:
     temp = spark._jvm.org.apache.hadoop.fs.Path(beside(uri))
     fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(local), temp)
     n = fs.getFileStatus(temp).getLen()
-    if fs.exists(out):
-        fs.delete(out, False)
-    if not fs.rename(temp, out):
-        raise IntegrityError(f"could not publish {uri}")
+    _replace(spark, fs, temp, out)
     _drop_checksum(spark, fs, out)
     return n

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import xml.parsers.expat as expat
 from collections.abc import Iterator
 
@@ -33,7 +34,23 @@ def _constant(_):
 _DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_constant=_constant)
 
 
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+"|([\[{])|[\]}]', re.S)
+
+
+def _check_depth(text: str) -> None:
+    """Refuse documents that are nested too deeply; few have brackets enough to be looked at."""
+    if text.count("{") + text.count("[") <= MOST_JSON_DEPTH:
+        return
+    depth = 0
+    for m in _BRACKETS.finditer(text):
+        if m[0][0] != '"':
+            depth += 1 if m[1] else -1
+            if depth > MOST_JSON_DEPTH:
+                raise ResourceError("a JSON document is nested too deeply")
+
+
 def json_value(text: str):
+    _check_depth(text)
     try:
         return _DECODER.decode(text)
     except RecursionError:
