@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.errors import IntegrityError, InvalidArgumentError
+from tidewright.errors import IntegrityError, InvalidArgumentError, ResourceError
 from tidewright.functions import columns as col
 from tidewright.functions.scalars import Parsers
 from tidewright.functions.types import LField, list_of, scalar, struct
@@ -282,3 +282,20 @@ def test_cancellation(spark):
     assert process_operation_diagnostics()["cancellations"] >= 1
     with operation_cancellation(spark) as token:
         assert spark.range(3).count() == 3 and not token.cancelled
+
+
+def test_depth_beyond_what_arrow_carries(spark):
+    def nested(depth: int):
+        return spark.createDataFrame([('{"k":' * depth + "1" + "}" * depth,)], "value string")
+
+    how = dict(input_format="jsonl", arrow_max_depth=512, parquet_max_depth=512)
+    assert len(sanitize(spark, nested(60), **how).dataframe.collect()) == 1
+    with pytest.raises(ResourceError):
+        sanitize(spark, nested(400), **how)
+
+
+def test_publication_replaces(spark, tmp_path):
+    for text in ("old", "newer"):
+        (tmp_path / "a.csv").write_text(text)
+        assert publish_file_atomic(spark, str(tmp_path / "a.csv"), str(tmp_path / "z.csv")) == len(text)
+    assert (tmp_path / "z.csv").read_text() == "newer" and sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "z.csv"]

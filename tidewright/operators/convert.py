@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import sys
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import IntegrityError, InvalidArgumentError
+from ..errors import IntegrityError, InvalidArgumentError, ResourceError
 from ..functions import names
 from ..functions.columns import adapt
 from ..functions.scalars import Parsers
@@ -36,6 +37,13 @@ from ..sources.parse import BadRow
 from ..sources.readers import Reader, header_names, open_files, open_lines, open_rows
 
 PLACE = ["__file", "__block", "__pos"]
+#: Deepest nesting that Arrow's messages carry between Python and the JVM.
+MOST_CARRIED_DEPTH = 60
+
+
+def deep_calls() -> None:
+    """Let a worker follow values of the deepest nesting that the options allow; some calls are needed per level."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
 
 @dataclass
@@ -108,8 +116,10 @@ def infer(reader: Reader, stats: dict | None = None) -> tuple[list[LField], tupl
     """The fields that all rows give evidence of, and the place of the first row."""
     o = reader.o
     ship(reader.units.sparkSession)
+    deep_calls()
 
     def scan(batches):
+        deep_calls()
         parsers = Parsers(o)
         n = {"rows": 0, "first": None}
         out: list[tuple] = []
@@ -209,6 +219,7 @@ def materialise(reader: Reader, fields: tuple[LField, ...], stats: dict) -> Data
     types = pa.schema([(f.name, f.type.arrow()) for f in fields])
 
     def build(batches):
+        deep_calls()
         counts = {"scalar_wrappings": 0}
         level = Level(fields, o, Parsers(o), counts)
         most = 4096
@@ -306,6 +317,8 @@ def sanitize(spark: SparkSession, source, *, schema_registry: Mapping | str | No
         merged = reg.merge(inferred, schema_registry, **how)
     if clash := [f.name for f in merged.fields if f.name in names.ETL_COLUMNS]:
         raise InvalidArgumentError(f"source fields with names of generated columns: {', '.join(clash)}")
+    if max(_depths(merged.fields)) > MOST_CARRIED_DEPTH:
+        raise ResourceError(f"the schema is nested more than {MOST_CARRIED_DEPTH} deep; lower arrow_max_depth and parquet_max_depth to flatten it")
     rows = materialise(reader, merged.fields, stats)
     if first is None or o.on_error == "skip_row":
         first = rows.agg(F.min(F.struct(*PLACE)).alias("p")).first()["p"]

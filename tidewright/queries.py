@@ -16,7 +16,7 @@ from .operators.writers import write_csv, write_jsonl, write_parquet
 from .plans import registry as reg
 from .plans.pipeline import assign_windows
 from .session import scratch
-from .sources.files import beside, publish
+from .sources.files import beside, manifest_frame, publish
 
 ETL = ("schema_registry", "schema_drifts", "source_file", "ingestion_timestamp")
 
@@ -141,6 +141,12 @@ def publish_csv(df: DataFrame, path: str) -> None:
     publish(df.sparkSession, folder, path)
 
 
+def write_parquet_file(df: DataFrame, path: str) -> None:
+    folder = beside(path)
+    df.coalesce(1).write.parquet(folder)
+    publish(df.sparkSession, folder, path)
+
+
 def csv_union_headers(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier")
     folder = scratch(spark, "csv-union")
@@ -242,9 +248,18 @@ def parquet_roundtrip(spark, sf_dir):
 
 def manifest_order(spark, sf_dir):
     """Pages as objects: identities are unique, in order of uri and generation."""
-    p = _table(spark, sf_dir, "pages").select("url", "page_id")
-    unique = p.groupBy("url", "page_id").agg(F.count("*").alias("n"))
-    return unique.filter("n = 1").orderBy("url", "page_id").select("url", "page_id")
+    return manifest_frame(_table(spark, sf_dir, "pages"), "url", "page_id")
+
+
+def parquet_mixed_registry(spark, sf_dir):
+    """A folder of Parquet files with two schemas: all rows, and the registry and drifts of one batch."""
+    s = _table(spark, sf_dir, "supplier")
+    folder = scratch(spark, "mixed")
+    write_parquet_file(s.filter("s_suppkey % 3 = 0").select("s_suppkey", "s_name"), f"{folder}/a.parquet")
+    write_parquet_file(s.filter("s_suppkey % 3 <> 0").select("s_suppkey", "s_acctbal"), f"{folder}/b.parquet")
+    r = sanitize(spark, folder, input_format="parquet", input_mode="directory", field_name_policy="preserve")
+    drifts = ",".join(sorted(f"{d['drift_type']}:{d['output_name']}" for d in r.schema_drifts))
+    return _data(r).select("s_suppkey", "s_name", "s_acctbal", F.lit(r.schema_registry["schema_generation"]).cast("long").alias("generation"), F.lit(drifts).alias("drifts"))
 
 
 _AMOUNT = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END"
@@ -281,6 +296,7 @@ SQL = {
     "jsonl_roundtrip": "SELECT c_acctbal, c_custkey, 'a \"q\", ' || c_name AS c_name FROM customer",
     "csv_roundtrip": "SELECT c_acctbal, c_custkey, 'a \"q\", ' || c_name AS c_name FROM customer",
     "parquet_roundtrip": "SELECT c_acctbal, c_custkey, 'a \"q\", ' || c_name AS c_name FROM customer",
+    "parquet_mixed_registry": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS s_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS s_acctbal, CAST(2 AS BIGINT) AS generation, 'newly_added:s_acctbal,newly_added:s_name,newly_added:s_suppkey' AS drifts FROM supplier",
     "manifest_order": "SELECT url, page_id FROM pages GROUP BY url, page_id HAVING count(*) = 1",
 }
 

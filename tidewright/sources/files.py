@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import IntegrityError, InvalidArgumentError
 
@@ -98,6 +99,17 @@ def discover(spark: SparkSession, uri: str, suffixes: Iterable[str], modified_be
     return SourceManifest(files[0].uri.rsplit("/", 1)[0] + "/" if files else uri.rstrip("/") + "/", files)
 
 
+def manifest_frame(objects: DataFrame, uri: str = "uri", generation: str = "generation") -> DataFrame:
+    """A listing that is a table, as a manifest: in order of uri and generation.
+
+    An object without a generation and one that is named twice fail the query, as they fail ``SourceManifest``.
+    """
+    named = objects.groupBy(uri, generation).agg(F.count("*").alias("__times"))
+    blank = F.coalesce(F.trim(F.col(generation).cast("string")), F.lit("")) == ""
+    fault = F.when(blank, F.raise_error(F.lit("a manifest's objects need a generation"))).when(F.col("__times") > 1, F.raise_error(F.lit("a manifest names an object twice")))
+    return named.filter(fault.isNull()).orderBy(uri, generation).select(uri, generation)
+
+
 def input_paths(spark: SparkSession, source, input_format: str, input_mode: str) -> list[str]:
     """The files of an input, in order."""
     if isinstance(source, SourceManifest):
