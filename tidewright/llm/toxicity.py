@@ -118,15 +118,20 @@ class FactorizationMachine:
                 g = e.sum()
                 gb += g * g
                 self.bias -= rate * g / np.sqrt(gb)
-                u, at = np.unique(ids, return_inverse=True)
+                by = np.argsort(ids, kind="stable")  # sets are in order, so this merges runs
+                place, row = ids[by], of[by]
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+                u = place[first]
+                at = np.empty(len(ids), np.int64)
+                at[by] = np.repeat(np.arange(len(u)), np.diff(np.r_[first, len(ids)]))
                 g = np.bincount(at, e[of], len(u))
                 gw[u] += g * g
                 step = rate / np.sqrt(gw[u])
                 x = self.w[u] - step * g
                 self.w[u] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
-                each = (e * scale)[of][:, None] * (s[of] - self.v[ids])
-                by = np.argsort(at, kind="stable")
-                g = _sums(each[by], at[by], len(u))
+                if not len(u):
+                    continue
+                g = np.add.reduceat((e * scale)[row][:, None] * (s[row] - self.v[place]), first, axis=0)
                 gv[u] += (g * g).mean(1)
                 step = 0.5 * rate / np.sqrt(gv[u])[:, None]
                 x = self.v[u] - step * g
