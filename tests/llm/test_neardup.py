@@ -54,3 +54,21 @@ def test_stage_drops_copies_with_one_word_in_fifty_changed(spark, monkeypatch):
     got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == kept_by_all_pairs(texts)
     assert not {r.doc_id for r in got} & {101 + 10 * i for i in range(40) if len(texts[1 + len(dict(ODD)) + 3 * i][1].split()) >= 200}
+
+
+def test_only_likely_pairs_have_their_sets_compared(spark, monkeypatch):
+    """Texts that share a passage stay out of the costly comparison, which is where the stage's disk went."""
+    wanted = []
+    real = neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda docs, rows, fps, text: wanted.append(fps.count()) or real(docs, rows, fps, text))
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passages = [text(12) for _ in range(40)]
+    texts = [(i, " ".join(text(90) + passages[i % 40] + text(90))) for i in range(120)]
+    words = text(200)
+    texts += [(1000, " ".join(words)), (1001, edited(rng, words, 100))]
+    for bucket in (64, 2):  # passages in groups of 3, listed or not
+        monkeypatch.setattr(neardup, "BUCKET", bucket)
+        got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
+        assert sorted((False, r.doc_id) for r in got) == kept_by_all_pairs(texts) == [(False, i) for i in [*range(120), 1000]]
+    assert wanted[0] == 2
