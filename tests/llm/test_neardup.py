@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tidewright.llm import neardup
+from tidewright.llm import neardup, simhash
 
 from .helpers import ODD, docs
 
@@ -72,3 +74,20 @@ def test_only_likely_pairs_have_their_sets_compared(spark, monkeypatch):
         got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
         assert sorted((False, r.doc_id) for r in got) == kept_by_all_pairs(texts) == [(False, i) for i in [*range(120), 1000]]
     assert wanted[0] == 2
+
+
+def test_stage_links_by_simhash_and_checks_what_it_links(spark, monkeypatch):
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes: seen.extend(r.fp for r in nodes.collect()) or links(nodes))
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(4000)}" for _ in range(900)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "one two three"), (4, " ".join(words[:300])), (5, None)]
+    rows = neardup.indexed(docs(spark, texts)).collect()
+    bits = {t or "": simhash.fingerprint(t, 5, 0) for _, t in texts}
+    assert bin(bits[texts[0][1]] ^ bits[texts[1][1]]).count("1") <= simhash.RADIUS
+    assert {r.doc_id: r.sim % 2**64 for r in rows} == {i: bits[t or ""] for i, t in texts}
+    got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
+    assert {f % 2**64 for f in seen} == set(bits.values()) and sorted(r.doc_id for r in got) == [1, 3, 4, 5]
+    # fingerprints that are alike without similar texts link nothing
+    far = docs(spark, [(i, " ".join(f"{i}x{rng.random()}" for _ in range(40))) for i in range(6)])
+    assert neardup.links(far, neardup.indexed(far).withColumn("sim", F.lit(7).cast("long"))).count() == 0

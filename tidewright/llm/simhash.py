@@ -60,6 +60,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint, unsigned, of one text's shingle hashes."""
+    ones = sum(_ones(h[c : c + CHUNK]) for c in range(0, len(h), CHUNK))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def _ones(h: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit."""
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
