@@ -5,9 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import neardup, simhash
+from tidewright.llm import neardup, simhash, toxicity
 
-from .helpers import ODD, docs
+from .helpers import ODD, docs, frame, save
 
 
 def grams(text):
@@ -91,3 +91,13 @@ def test_stage_links_by_simhash_and_checks_what_it_links(spark, monkeypatch):
     # fingerprints that are alike without similar texts link nothing
     far = docs(spark, [(i, " ".join(f"{i}x{rng.random()}" for _ in range(40))) for i in range(6)])
     assert neardup.links(far, neardup.indexed(far).withColumn("sim", F.lit(7).cast("long"))).count() == 0
+
+
+def test_driver_gives_back_what_the_fit_took(spark, monkeypatch, tmp_path):
+    steps, train, score = [], toxicity.train, toxicity.score
+    monkeypatch.setattr(toxicity, "train", lambda *a: steps.append("train") or train(*a))
+    monkeypatch.setattr(corpus_pipeline, "release", lambda: steps.append("release"))
+    monkeypatch.setattr(toxicity, "score", lambda *a, **k: steps.append("score") or score(*a, **k))
+    save(frame(spark, [{"doc_id": 1, "toxic": 0}], "doc_id long, toxic int"), tmp_path, "labels")
+    assert corpus_pipeline.drop_toxic(spark, docs(spark, [(1, "a b"), (2, None)]), str(tmp_path)).count() == 2
+    assert steps == ["train", "release", "score"]
