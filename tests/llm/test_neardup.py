@@ -101,3 +101,23 @@ def test_driver_gives_back_what_the_fit_took(spark, monkeypatch, tmp_path):
     save(frame(spark, [{"doc_id": 1, "toxic": 0}], "doc_id long, toxic int"), tmp_path, "labels")
     assert corpus_pipeline.drop_toxic(spark, docs(spark, [(1, "a b"), (2, None)]), str(tmp_path)).count() == 2
     assert steps == ["train", "release", "score"]
+
+
+def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
+    """Copies with edits of one text, many of them not similar to any other: few pairs are compared, and no link is lost."""
+    monkeypatch.setattr(neardup, "BUCKET", 5)
+    pairs, real = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag: (out := real(df, tag), pairs.append(out.count()) if tag == "neardup-pairs" else 0)[0])
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    shared, texts = text(90), []
+    for group, size in enumerate((90, 60, 40)):  # families of one half, joined by a passage that all hold
+        base = shared + text(110)
+        for i in range(size):
+            words = list(base)
+            for at in rng.sample(range(len(base)), rng.choice([1, 2, 3, 4, 5, 6])):
+                words[at] = f"new{rng.randrange(10**9)}"
+            texts.append((1000 * group + i, " ".join(words)))
+    got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
+    assert sorted((False, r.doc_id) for r in got) == kept_by_all_pairs(texts)
+    assert 10 < len(got) < len(texts) - 50 and sum(pairs) < 3 * len(texts)
