@@ -1,6 +1,7 @@
 """Language identification, token counts, quality, toxicity."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, langid, quality, queries, tokencount, toxicity
-from tidewright.llm.bpe import Vocabulary, default_path
+from tidewright.llm.bpe import Bounded, Vocabulary, default_path
 
 from .helpers import ODD, SF, docs, frame, real, save
 
@@ -245,3 +246,22 @@ def test_machine_margin_equals_all_pairs():
     got = m.margin(np.concatenate(sets), None, 3, of)
     want = [m.bias + m.w[s].sum() + sum(m.v[a] @ m.v[b] for i, a in enumerate(s) for b in s[i + 1 :]) for s in sets]
     np.testing.assert_allclose(got, want)
+
+
+def test_terms_hash_a_word_once_whatever_stands_beside_it():
+    text = "Harbour, harbour. (HARBOUR) harbour-master's ΟΔΥΣΣΕΥΣ, Σ' ΑΣ. İstanbul's ǅungla\x1cnaïveté\u2003日本語テキスト処理 x_1 \ud800ab𝒜bcdefgh"
+    words = {w for token in text.split() for w in re.findall(r"\w+", token.lower())}
+    own = [x for w in words for x in (w, *("^" + w[:k] for k in toxicity.STEMS if len(w) > k))]
+    want = {zlib.crc32(x.encode("utf-8", "surrogatepass")) % 2**toxicity.HASH_BITS for x in own}
+    asked = []
+    memo = Bounded(lambda w: asked.append(w) or toxicity.hashed(w), toxicity.MEMO)
+    assert toxicity.terms(text, memo) == want == toxicity.terms(text, memo) and toxicity.terms(None, memo) == set()
+    assert sorted(asked) == sorted(words)
+
+
+def test_numbers_without_a_weight_are_left_out():
+    model = toxicity.Model(0.5)
+    assert len(model.features(np.array([3, 9]))) == 0
+    model = toxicity.Model(0.5)
+    model.kept = np.array([3, 7, 2**toxicity.HASH_BITS - 1])
+    assert model.features(np.array([9, 7, 2**toxicity.HASH_BITS - 1, 0, 3])).tolist() == [1, 2, 0]

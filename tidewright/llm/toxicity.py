@@ -16,6 +16,7 @@ by piece. Other columns of the input stay as they are, but for one named like th
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,22 +43,31 @@ STEPS = 1_000
 STEMS = (4, 5, 6, 7)
 #: Texts that are scored at a time.
 ROWS = 128
-#: Distinct tokens that a worker remembers.
+#: Distinct words that a worker remembers.
 MEMO = 50_000
 _TERM = re.compile(r"\w+")
+_MASK = (1 << HASH_BITS) - 1
+_STEM = zlib.crc32(b"^")
 
 
-def hashed(token: str) -> tuple[int, ...]:
-    """The hashed terms of one white-space token: its words and their stems."""
-    own = [x for w in _TERM.findall(token.lower()) for x in (w, *("^" + w[:k] for k in STEMS if len(w) > k))]
-    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for x in own)
+def hashed(word: str) -> tuple[int, ...]:
+    """The hashed terms of one lower-cased word: itself and its stems, each checksum carried on from the one before."""
+    data = word.encode("utf-8", "surrogatepass")
+    out, c, at = [zlib.crc32(data) & _MASK], _STEM, 0
+    for k in STEMS:
+        if len(word) <= k:
+            break
+        end = k if len(data) == len(word) else len(word[:k].encode("utf-8", "surrogatepass"))
+        c = zlib.crc32(data[at:end], c)
+        out.append(c & _MASK)
+        at = end
+    return tuple(out)
 
 
 def terms(text: str | None, memo) -> set[int]:
     out: set[int] = set()
     for piece in pieces(text or ""):
-        for token in set(piece.split()):
-            out.update(memo[token])
+        out.update(*map(memo.__getitem__, set(_TERM.findall(piece.lower()))))
     return out
 
 
@@ -80,15 +90,15 @@ class FactorizationMachine:
 
     def margin(self, ids: np.ndarray, starts: np.ndarray | None, rows: int, of: np.ndarray) -> np.ndarray:
         """Of ``rows`` sets; ids are the features in order of set, ``of`` each one's set."""
-        return self._margin(ids, rows, of)[0]
+        return self._margin(self.w, self.v, ids, rows, of)[0]
 
-    def _margin(self, ids: np.ndarray, rows: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Margins, scales of the sums over pairs, sums of vectors."""
+    def _margin(self, w: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Margins, scales of the sums over pairs, sums of vectors; ids are places in ``w`` and ``v``."""
         scale = np.maximum(np.bincount(of, minlength=rows), 1) ** -0.5 if self.scaled else np.ones(rows)
-        own = self.v[ids]
+        own = v[ids]
         s = _sums(own, of, rows)
-        pairs = (s**2).sum(1) - np.bincount(of, (own**2).sum(1), rows)
-        return self.bias + np.bincount(of, self.w[ids], rows) + 0.5 * scale * pairs, scale, s
+        pairs = (s**2).sum(1) - np.bincount(of, np.einsum("ij,ij->i", own, own), rows)
+        return self.bias + np.bincount(of, w[ids], rows) + 0.5 * scale * pairs, scale, s
 
     def start(self, sets: list[np.ndarray], labels: np.ndarray) -> None:
         """Begin from each feature's association with the label, in standard errors beyond chance."""
@@ -113,28 +123,31 @@ class FactorizationMachine:
                 take = order[a : a + batch]
                 ids = np.concatenate([sets[i] for i in take])
                 of = np.repeat(np.arange(len(take)), [len(sets[i]) for i in take])
-                m, scale, s = self._margin(ids, len(take), of)
-                e = (1 / (1 + np.exp(-m.clip(-30, 30))) - labels[take]) / len(take)
-                g = e.sum()
-                gb += g * g
-                self.bias -= rate * g / np.sqrt(gb)
                 by = np.argsort(ids, kind="stable")  # sets are in order, so this merges runs
                 place, row = ids[by], of[by]
                 first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
                 u = place[first]
                 at = np.empty(len(ids), np.int64)
                 at[by] = np.repeat(np.arange(len(u)), np.diff(np.r_[first, len(ids)]))
+                w, v = self.w[u], self.v[u]  # of this batch's features alone
+                m, scale, s = self._margin(w, v, at, len(take), of)
+                e = (1 / (1 + np.exp(-m.clip(-30, 30))) - labels[take]) / len(take)
+                g = e.sum()
+                gb += g * g
+                self.bias -= rate * g / np.sqrt(gb)
                 g = np.bincount(at, e[of], len(u))
                 gw[u] += g * g
                 step = rate / np.sqrt(gw[u])
-                x = self.w[u] - step * g
+                x = w - step * g
                 self.w[u] = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
                 if not len(u):
                     continue
-                g = np.add.reduceat((e * scale)[row][:, None] * (s[row] - self.v[place]), first, axis=0)
+                # a feature's own vector is part of its sets' sums and is taken out once for all of them
+                pull = e * scale
+                g = np.add.reduceat((pull[:, None] * s)[row], first, axis=0) - np.bincount(at, pull[of], len(u))[:, None] * v
                 gv[u] += (g * g).mean(1)
                 step = 0.5 * rate / np.sqrt(gv[u])[:, None]
-                x = self.v[u] - step * g
+                x = v - step * g
                 self.v[u] = x * np.maximum(0, 1 - step * l2 / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12))
 
 
@@ -146,10 +159,17 @@ class Model:
         self.kept = np.empty(0, np.int64)
         self.machine: FactorizationMachine | None = None
 
+    @functools.cached_property
+    def places(self) -> np.ndarray:
+        """Each number's place in ``kept``, -1 for others; made where texts are scored."""
+        out = np.full(1 << HASH_BITS, -1, np.int32)
+        out[self.kept] = np.arange(len(self.kept))
+        return out
+
     def features(self, numbers: np.ndarray) -> np.ndarray:
         """Places of the numbers in ``kept``, the others left out."""
-        at = np.searchsorted(self.kept, numbers).clip(0, max(0, len(self.kept) - 1))
-        return at[self.kept[at] == numbers] if len(self.kept) else at[:0]
+        at = self.places[numbers]
+        return at[at >= 0]
 
     def score(self, texts: list, memo) -> np.ndarray:
         if self.machine is None:
