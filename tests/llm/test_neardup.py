@@ -121,3 +121,16 @@ def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
     got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
     assert sorted((False, r.doc_id) for r in got) == kept_by_all_pairs(texts)
     assert 10 < len(got) < len(texts) - 50 and sum(pairs) < 3 * len(texts)
+
+
+def test_stages_send_small_batches_to_workers(spark):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", docs(spark, [(1, "a b"), (2, None)])
+    before = spark.conf.get(name)
+    try:
+        for told, want in (("10000", "1024"), ("0", "1024"), ("7", "7")):
+            for stage in (corpus_pipeline.drop_copies, corpus_pipeline.pack_sequences):
+                spark.conf.set(name, told)
+                stage(spark, rows, "")
+                assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
