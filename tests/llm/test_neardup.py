@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import neardup, simhash, toxicity
+from tidewright.llm import components, neardup, simhash, toxicity
 
 from .helpers import ODD, docs, frame, save
 
@@ -134,3 +134,36 @@ def test_stages_send_small_batches_to_workers(spark):
                 assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_few_links_take_no_rounds_in_spark(spark, monkeypatch):
+    """Each shuffle of a round has a thread of the driver for a minute, which filled its memory."""
+    written, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, tag: written.append(tag) or real(df, tag))
+    rng = random.Random(9)
+    big = 2**62
+    pairs = [(big - i, big - i - 1) for i in range(60)] + [(-big + rng.randrange(90), -big + rng.randrange(90)) for _ in range(70)] + [(5, 5), (8, 7), (7, 8)]
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for u, v in pairs:
+            least[u] = least[v] = min(least[u], least[v])
+    alone = {x for x in least if all(x not in p or p[0] == p[1] for p in pairs)}
+    want = {x: r for x, r in least.items() if x not in alone}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    got = components.connected_components(edges).collect()
+    assert dict(got) == want and len(got) == len(want) and written == ["links"]
+    assert components.connected_components(edges.filter("u = 5")).collect() == []
+    monkeypatch.setattr(components, "FEW", 0)  # more than the driver takes
+    got = components.connected_components(edges).collect()
+    assert dict(got) == want and len(got) == len(want) and len(written) > 4
+
+
+def test_stage_is_the_same_with_more_links_than_the_driver_takes(spark, monkeypatch):
+    rng = random.Random(10)
+    words = [[f"w{rng.randrange(4000)}" for _ in range(150)] for _ in range(6)]
+    texts = [(10 * i + k, edited(rng, w, 150) if k else " ".join(w)) for i, w in enumerate(words) for k in range(4)]
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
+        assert sorted((False, r.doc_id) for r in got) == kept_by_all_pairs(texts)
+    assert len(got) == 6
