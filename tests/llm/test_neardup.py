@@ -103,6 +103,20 @@ def test_driver_gives_back_what_the_fit_took(spark, monkeypatch, tmp_path):
     assert steps == ["train", "release", "score"]
 
 
+def test_driver_gives_back_the_rows_before_the_fit(spark, monkeypatch):
+    steps, fit, sets = [], toxicity.FactorizationMachine.fit, []
+    monkeypatch.setattr(toxicity, "release", lambda: steps.append("release"))
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", lambda self, x, y: steps.append("fit") or sets.append((x, y)) or fit(self, x, y))
+    texts = [(1, "aa bb"), (2, "bb cc cc"), (3, "dd"), (4, "aa bb cc"), (5, None)]
+    labels = frame(spark, [{"doc_id": i, "toxic": i % 2} for i in range(1, 6)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts).repartition(3), labels, F.lit(True))
+    number = {w: toxicity.hashed(w)[0] for w in ("aa", "bb", "cc")}
+    assert steps == ["release", "fit"] and model.kept.tolist() == sorted(number.values())
+    got = sorted((int(y), sorted(model.kept[x].tolist())) for x, y in zip(*sets[0]))
+    want = [(i % 2, sorted(number[w] for w in set((t or "").split()) if w in number)) for i, t in texts]
+    assert got == sorted(want)
+
+
 def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
     """Copies with edits of one text, many of them not similar to any other: few pairs are compared, and no link is lost."""
     monkeypatch.setattr(neardup, "BUCKET", 5)

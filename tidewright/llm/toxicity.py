@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bounded
-from .common import lean, lean_batches, materialize, pieces, sampled, ship
+from .common import lean, lean_batches, materialize, pieces, release, sampled, ship
 
 HASH_BITS = 20
 #: Most labelled rows that the model is fitted on.
@@ -183,6 +184,19 @@ class Model:
         return 1 / (1 + np.exp(-self.machine.margin(np.concatenate(found), None, len(texts), of).clip(-30, 30)))
 
 
+def _sets(lists: list[pa.ListArray], order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers that two or more of the lists hold, and each list's places in them, by ``order``."""
+    held = np.zeros(1 << HASH_BITS, np.int64)
+    parts = []
+    for x in lists:
+        numbers = x.flatten().to_numpy()
+        np.add.at(held, numbers, 1)
+        parts += np.split(numbers, x.value_lengths().to_numpy().cumsum()[:-1]) if len(x) else []
+    fitted = held > 1
+    places = fitted.cumsum(dtype=np.int32)
+    return np.flatnonzero(fitted), [places[x[fitted[x]]] - 1 for x in (parts[i] for i in order)]
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", text: str = "text", key: str = "doc_id", most_rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled documents where ``learn``, a condition on column ``doc_id``, holds."""
     ship(docs.sparkSession)
@@ -200,21 +214,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     rows = texts.join(F.broadcast(own), "doc_id").select("label", F.xxhash64("text").alias("h"), "text")
     rows = rows.mapInPandas(collect, "label int, h long, terms array<int>").dropDuplicates(["h", "label"])
     rows = sampled(materialize(rows, "toxicity-terms"), "h", most_rows)
-    got = rows.toArrow().combine_chunks()  # at most `most_rows`; numbers of 32 bits, which sets are cut from without a copy
+    got = rows.toArrow()  # at most `most_rows`; numbers of 32 bits, which sets are cut from without a copy
     labels_ = got["label"].to_numpy().astype(np.float64)
     model = Model((labels_.sum() + 1) / (len(labels_) + 2))
     if not labels_.sum() or labels_.all():
         return model
-    lists = got["terms"].combine_chunks()
-    numbers, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
     order = np.lexsort((labels_, got["h"].to_numpy()))
-    del got, lists
-    places = (np.bincount(numbers, minlength=1 << HASH_BITS) > 1).cumsum(dtype=np.int32)
-    fitted = np.diff(places, prepend=np.int32(0)) > 0
-    model.kept = np.flatnonzero(fitted)
-    sets = [x[fitted[x]] for x in np.split(numbers, ends[:-1])]
-    sets = [places[sets[i]] - 1 for i in order]
-    del numbers
+    model.kept, sets = _sets(got["terms"].chunks, order)
+    del got
+    release()  # the rows' memory, before the fit, which is long
     machine = FactorizationMachine(len(model.kept), scaled=True)
     machine.fit(sets, labels_[order])
     model.machine = machine
