@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from tidewright.options import Options
 from tidewright.plans import bigquery as bq
 from tidewright.plans import registry as reg
 from tidewright.plans.pipeline import HivePartitions, ParquetPipeline, warm_up_registry
-from tidewright.sources import discover, list_objects, publish_file_atomic
+from tidewright.sources import discover, list_objects, publish_file_atomic, readers
 from tidewright.streaming import convert_stream
 
 ETL = ("schema_registry", "schema_drifts", "source_file", "ingestion_timestamp")
@@ -101,6 +102,26 @@ def test_documents_arrays_xml_and_encodings(spark, tmp_path):
     assert rows(sanitize(spark, f"{folder}/d.csv", input_format="csv", csv_delimiter=";", input_text_encoding="utf-16")) == [{"k": "1", "v": "ä"}]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_xml_documents_go_to_workers_in_pieces(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(readers, "PIECE", size)
+    docs = ["<r><o><k>1</k><t>ä😀</t></o>\n<p/><o><k>2</k></o></r>", "<r/>", "\ufeff<r><o><k>3</k><t>&lt;é</t></o></r>"]
+    want = [{"k": 1, "t": "ä😀"}, {"k": 2, "t": None}, {"k": 3, "t": "<é"}]
+    frame = spark.createDataFrame([(d,) for d in docs], "value string").coalesce(1)
+    got = readers.open_lines(frame, Options.of(input_format="xml")).units.collect()
+    assert max(len(r["unit"]) for r in got) <= size and [r["last"] for r in got].count(True) == 3
+    assert b"".join(r["unit"] for r in got).decode() == "".join(docs)
+    how = dict(input_format="xml", xml_row_tag="o", parse_integers=True)
+    assert rows(sanitize(spark, frame, **how)) == want
+    for encoding in ("utf-8", "utf-16"):
+        folder = tmp_path / encoding
+        folder.mkdir()
+        write(folder, **{f"{n}__xml": d.encode(encoding) for n, d in zip("abc", docs)})
+        assert rows(sanitize(spark, str(folder), input_mode="directory", input_text_encoding=encoding, **how)) == want
+    with pytest.raises(PythonException, match="IntegrityError"):  # also of rows before the fault nothing is given
+        sanitize(spark, spark.createDataFrame([("<r><o>1</o><o>2</o>",), ("",)], "value string"), **how)
+
+
 def test_csv_exact_and_union(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "u").mkdir()

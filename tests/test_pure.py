@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -196,6 +197,31 @@ def test_json_and_xml():
             list(xml_rows(bad, None))
 
 
+def test_xml_rows_are_given_on_as_they_end():
+    row = '<o id="1"><a>x</a></o>between<p><q>no row</q></p>'
+    assert next(xml_rows(f"<r>{row * 5_000}<bad", "o")) == {"@id": "1", "a": "x"}  # the end is not reached
+    read = []
+
+    def pieces():
+        yield "<r>"
+        for i in range(20_000):
+            read.append(i)
+            yield row
+        yield "</r>"
+
+    rows = xml_rows(pieces(), "o")
+    next(rows)
+    assert len(read) == 1
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in rows) == 19_999
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    finally:
+        tracemalloc.stop()
+    with pytest.raises(IntegrityError):
+        list(xml_rows(["<r><o>", "</o>"], "o"))
+
+
 def test_pipelines_plan():
     windows = build_utc_daily_windows(dt.date(2024, 1, 1), dt.date(2024, 1, 3))
     files = [RemoteFile(f"s/{i}", "1", 1, dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc)) for i, d in enumerate((3, 1, 1))]

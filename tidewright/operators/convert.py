@@ -146,13 +146,12 @@ def infer(reader: Reader, stats: dict | None = None) -> tuple[list[LField], tupl
                 for x in source:
                     if x is None:
                         return
-                    numbers.append(x[0])
+                    n["pos"] = x[0]
                     yield x[1]
                 done = True
 
-            numbers: list[int] = []
-            for i, key, t in distinct_trees(block(), parsers, o):
-                out.append((*n["at"], numbers[i], key, packed(t), 0))
+            for _, key, t in distinct_trees(block(), parsers, o):
+                out.append((*n["at"], n["pos"], key, packed(t), 0))
         if n["rows"]:
             out.append((*n["first"], None, None, n["rows"]))
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "pos", "key", "tree", "n"), x)) for x in out], schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("pos", pa.int64()), ("key", pa.string()), ("tree", pa.string()), ("n", pa.int64())]))

@@ -1,6 +1,6 @@
 """Readers: each input becomes a DataFrame of raw units, and workers turn units into rows.
 
-A unit is a line (JSON Lines; CSV whose records are lines) or a whole document. Units carry the file and the offset of
+A unit is a line (JSON Lines; CSV whose records are lines), a whole document, or a piece of an XML document. Units carry the file and the offset of
 the split they come from, so that rows have a fixed place (file, block, position) whatever the partitioning is: splits of a
 large file are read side by side, and order is restored from the place.
 """
@@ -8,6 +8,7 @@ large file are read side by side, and order is restored from the place.
 from __future__ import annotations
 
 import base64
+import codecs
 import datetime as dt
 import decimal
 import json
@@ -24,13 +25,15 @@ from ..options import Options
 from .parse import BadRow, Csv, csv_keys, decoded, json_array, json_document, json_row, xml_rows
 
 UNITS = "file string, block long, unit string"
+#: Bytes of an XML document that are sent to a worker in one row.
+PIECE = 1 << 20
 
 
 @dataclass
 class Reader:
     """Units of one input and what workers need to read them."""
 
-    units: DataFrame  # file, block, unit (string or binary); rows of a split follow each other
+    units: DataFrame  # file, block, unit (string or binary), for XML last; rows of a split follow each other
     form: str
     o: Options
     headers: dict[str, list[str] | None] = field(default_factory=dict)  # CSV in union mode and by lines
@@ -41,18 +44,39 @@ class Reader:
     def rows(self, batches: Iterator) -> Iterator[tuple[str, int, int, dict | BadRow]]:
         """(file, block, position, row) of a partition's units; a malformed JSON line gives its error as the row."""
         place, position = None, 0
-        for batch in batches:
-            for file, block, unit in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("unit").to_pylist()):
-                if (file, block) != place:
-                    place, position, first = (file, block), 0, block == 0
-                else:
-                    first = False
-                for row in self._of_unit(file, unit, first):
-                    yield file, block, position, row
-                    position += 1
+        for file, block, unit in self._documents(batches) if self.form == "xml" else _columns(batches, "file", "block", "unit"):
+            if (file, block) != place:
+                place, position, first = (file, block), 0, block == 0
+            else:
+                first = False
+            for row in self._of_unit(file, unit, first):
+                yield file, block, position, row
+                position += 1
+
+    def _documents(self, batches: Iterator) -> Iterator[tuple[str, int, Iterator[str]]]:
+        """(file, block, text in pieces) of a partition's XML documents; the text is to be read before the next is asked for."""
+        source = _columns(batches, "file", "block", "unit", "last")
+        encoding = self.o.input_text_encoding.lower()
+
+        def text(piece: bytes, last: bool) -> Iterator[str]:
+            decoder = codecs.getincrementaldecoder(encoding)()
+            while True:
+                try:
+                    yield decoder.decode(piece, last)
+                except UnicodeDecodeError:
+                    raise IntegrityError(f"the input is not valid {encoding}") from None
+                if last:
+                    return
+                _, _, piece, last = next(source)
+
+        for file, block, piece, last in source:
+            yield file, block, text(piece, last)
 
     def _of_unit(self, file: str, unit, first: bool) -> Iterator[dict | BadRow]:
         o = self.o
+        if self.form == "xml":
+            yield from xml_rows(_unmarked(unit) if first else unit, o.xml_row_tag)
+            return
         if isinstance(unit, (bytes, bytearray)):
             unit = decoded(unit, o.input_text_encoding)
         if first and unit.startswith("﻿"):
@@ -71,8 +95,6 @@ class Reader:
                 yield e
         elif self.form == "json_array":
             yield from json_array(unit)
-        elif self.form == "xml":
-            yield from xml_rows(unit, o.xml_row_tag)
         elif self.form == "csv_lines":
             records = Csv(o.csv_delimiter, o.csv_escape_char).records(unit)
             keys = self.headers.get(file)
@@ -98,6 +120,29 @@ class Reader:
         return out
 
 
+def _columns(batches: Iterator, *names: str) -> Iterator[tuple]:
+    """The values of these columns row by row; a unit becomes a Python value when its turn comes."""
+    for batch in batches:
+        yield from zip(*[(v.as_py() for v in batch.column(n)) if n == "unit" else batch.column(n).to_pylist() for n in names])
+
+
+def _unmarked(text: Iterator[str]) -> Iterator[str]:
+    """Without the byte order mark."""
+    yield next(text, "").removeprefix("\ufeff")
+    yield from text
+
+
+def _pieces(units: DataFrame) -> DataFrame:
+    """XML documents in pieces, in order, the last of each marked, so that no worker holds a document.
+
+    The bytes are a column of their own below the generator, which takes their length: generated code then has them in a
+    variable and copies nothing but the piece.
+    """
+    end = F.expr(f"CAST((octet_length(whole) - 1) DIV {PIECE} AS INT)")
+    numbered = units.select("file", "block", F.col("unit").cast("binary").alias("whole")).select("file", "block", "whole", F.explode(F.sequence(F.lit(0), end)).alias("i"))
+    return numbered.select("file", "block", F.substring("whole", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("unit"), (F.col("i") == end).alias("last"))
+
+
 def _whole(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     if encoding.lower() != "utf-8":
         got = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("content").alias("unit"))
@@ -118,7 +163,8 @@ def open_files(spark: SparkSession, paths: list[str], o: Options) -> Reader:
     if form == "jsonl":
         return Reader(_lines(spark, paths) if utf8 else _whole(spark, paths, o.input_text_encoding), form, o)
     if form != "csv":
-        return Reader(_whole(spark, paths, o.input_text_encoding), form, o)
+        whole = _whole(spark, paths, o.input_text_encoding)
+        return Reader(_pieces(whole) if form == "xml" else whole, form, o)
     if utf8 and _records_are_lines(_lines(spark, paths), o):
         reader = Reader(_lines(spark, paths), "csv_lines", o)
         reader.headers = _line_headers(reader.units, o)
@@ -209,7 +255,8 @@ def _plain(v):
 def open_lines(lines: DataFrame, o: Options) -> Reader:
     """The reader of a DataFrame of text (its first column): one document or line per row."""
     units = lines.select(F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("block"), F.col(f"`{lines.columns[0]}`").alias("unit"))
-    return Reader(units.filter(F.col("unit").isNotNull()), o.input_format, o)
+    units = units.filter(F.col("unit").isNotNull())
+    return Reader(_pieces(units) if o.input_format == "xml" else units, o.input_format, o)
 
 
 def open_rows(spark: SparkSession, rows: Iterable[dict], o: Options, chunk: int = 10_000) -> Reader:
